@@ -15,7 +15,7 @@ from panelcast.functions.dates import season_exprs
 from panelcast.functions.scalars import interval
 from panelcast.functions.spec import FeatureSpec
 from panelcast.operators.forecast import back, recent_values, state_depth, trailing_mean
-from panelcast.operators.shape import attach
+from panelcast.operators.shape import attach, doubles, drop_incomplete
 from panelcast.operators.windows import latest_row
 from panelcast.session import cut_lineage, shared_dir
 
@@ -65,23 +65,22 @@ def boosted_fit(
     config: BoostConfig = BoostConfig(),
 ) -> BoostedModel:
     """Fit on complete rows.  The design is written once, since every boosting round reads it."""
-    rows = df.select(*keys, F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(x) for x in xs])
-    rows = cut_lineage(rows.na.drop("any", subset=["_y", *xs]))
+    rows = cut_lineage(drop_incomplete(df.select(*keys, *doubles(df, [y, *xs])), [y, *xs]))
 
     def deviation(c: str) -> Column:
         sd = F.stddev_pop(c)
         return F.when(sd == 0, 1.0).otherwise(sd)
 
     scales = rows.groupBy(*keys).agg(
-        F.avg("_y").alias("_ym"),
-        deviation("_y").alias("_ys"),
+        F.avg(y).alias("_ym"),
+        deviation(y).alias("_ys"),
         F.array(*[F.avg(x) for x in xs]).alias("_xm"),
         F.array(*[deviation(x) for x in xs]).alias("_xs"),
     )
     scaled = attach(rows, scales, keys, ["_ym", "_ys", "_xm", "_xs"])
     z = [_scale(F.col(x), F.col("_xm")[i], F.col("_xs")[i]) for i, x in enumerate(xs)]
     design = scaled.select(
-        _scale(F.col("_y"), F.col("_ym"), F.col("_ys")).alias("_target"),
+        _scale(F.col(y), F.col("_ym"), F.col("_ys")).alias("_target"),
         array_to_vector(F.array(*z)).alias("_z"),
     )
     trees = GBTRegressor(
@@ -90,7 +89,7 @@ def boosted_fit(
         subsamplingRate=config.subsample, featureSubsetStrategy=str(config.colsample), seed=config.seed,
     ).fit(design)
     model = BoostedModel(list(keys), list(xs), scales.withColumn("sigma", F.lit(None).cast("double")), trees)
-    fitted = model.predict(rows).groupBy(*keys).agg(F.stddev_pop(F.col("_y") - F.col("yhat")).alias("sigma"))
+    fitted = model.predict(rows).groupBy(*keys).agg(F.stddev_pop(F.col(y) - F.col("yhat")).alias("sigma"))
     model.scales = cut_lineage(attach(scales, fitted, keys, ["sigma"]))
     return model
 
@@ -123,23 +122,59 @@ def recursive_forecast_boosted(
     keys = model.keys
     by_name = {s.name: s for s in specs}
     used = [by_name[x] for x in model.xs]
+    moving = ("target_lag", "target_rolling")
+    frozen = [s for s in used if s.kind not in (*moving, "season")]
+    dated = [s for s in used if s.kind == "season"]
+    fed_back = [s for s in used if s.kind in moving]
+    place = {x: i for i, x in enumerate(model.xs)}
+    order = [place[s.name] for s in (*frozen, *dated, *fed_back)]
+
     rows = recent_values(history, keys, target, state_depth(used), ds)
-    frozen = [s.name for s in used if s.kind not in ("target_lag", "target_rolling", "season")]
     if frozen:
-        rows = attach(rows, latest_row(history.select(*keys, ds, *frozen), keys, ds), keys, frozen)
+        last = latest_row(history.select(*keys, ds, *[s.name for s in frozen]), keys, ds)
+        rows = attach(rows, last, keys, [s.name for s in frozen])
     rows = attach(rows, model.scales, keys, ["_ym", "_ys", "_xm", "_xs"])
-    for i in range(1, horizon + 1):
+
+    def z(value: Column, s: FeatureSpec) -> Column:
+        i = place[s.name]
+        return _scale(value.cast("double"), F.col("_xm")[i], F.col("_xs")[i])
+
+    def dated_z(i: Column) -> Column:
         parts = season_exprs(F.add_months("last_ds", i))
-        step = {}
-        for s in used:
-            if s.kind == "target_lag":
-                step[s.name] = back(F.col("recent"), s.k)
-            elif s.kind == "target_rolling":
-                step[s.name] = trailing_mean(F.col("recent"), s.k)
-            elif s.kind == "season":
-                step[s.name] = parts[s.name]
-        rows = model.score(rows.withColumns(step), "_yhat")
-        rows = rows.withColumn("recent", F.array_append("recent", F.col("_yhat"))).drop("_yhat")
+        return F.array(*[z(parts[s.name], s) for s in dated])
+
+    # Everything known before the first step is scaled once: frozen features and all date features.
+    rows = rows.withColumns(
+        {
+            "_fixed": F.array(*[z(F.col(s.name), s) for s in frozen]),
+            "_dated": F.transform(F.sequence(F.lit(1), F.lit(horizon)), dated_z),
+        }
+    ).drop(*[s.name for s in frozen])
+    back_to_model = F.array(*[F.lit(order.index(i) + 1) for i in range(len(order))])
+    for i in range(horizon):
+        values = [
+            z(back(F.col("recent"), s.k) if s.kind == "target_lag" else trailing_mean(F.col("recent"), s.k), s)
+            for s in fed_back
+        ]
+        vector = F.concat(F.col("_fixed"), F.col("_dated")[i], F.array(*values))
+        if order != sorted(order):
+            # The one-element array binds the vector, so it is built once and not per element.
+            vector = F.transform(
+                F.array(vector),
+                lambda v: F.transform(back_to_model, lambda at: F.element_at(v, at)),
+            )[0]
+        rows = rows.withColumn("_v", vector)
+        ready = F.forall("_v", lambda v: v.isNotNull()) & F.col("_ys").isNotNull()
+        blank = F.array_repeat(F.lit(0.0), len(order))
+        scored = model.trees.transform(
+            rows.withColumn("_ready", ready).withColumn(
+                "_z", array_to_vector(F.when(F.col("_ready"), F.col("_v")).otherwise(blank))
+            )
+        )
+        value = F.when(F.col("_ready"), F.col("_pred") * F.col("_ys") + F.col("_ym"))
+        rows = scored.withColumn("recent", F.array_append("recent", value)).drop(
+            "_v", "_z", "_ready", "_pred"
+        )
     path = F.slice("recent", -horizon, horizon)
     out = rows.select(*keys, "last_ds", F.posexplode(path).alias("_at", "yhat"))
     return out.select(*keys, F.add_months("last_ds", F.col("_at") + 1).alias("ds"), "yhat")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelcast.operators.boosted import BoostedModel, saved_nodes
-from panelcast.operators.shape import attach
+from panelcast.operators.shape import attach, drop_incomplete
 
 # A pooled ensemble is bounded by its parameters, not by the data; checked before it is broadcast.
 MAX_NODES = 1_000_000
@@ -128,7 +128,7 @@ def tree_contributions(
     shared = df.sparkSession.sparkContext.broadcast(leaves)
     keys, xs = model.keys, model.xs
     rows = attach(df.select(*keys, ds, *xs), model.scales, keys, ["_ys", "_xm", "_xs"])
-    rows = rows.na.drop("any", subset=["_ys", *xs]).select(
+    rows = drop_incomplete(rows, ["_ys", *xs]).select(
         *keys, ds, "_ys",
         F.array(*[(F.col(x) - F.col("_xm")[i]) / F.col("_xs")[i] for i, x in enumerate(xs)]).alias("_z"),
     )

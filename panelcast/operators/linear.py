@@ -16,8 +16,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelcast.functions.scalars import interval
-from panelcast.operators.shape import attach
+from panelcast.operators.shape import attach, doubles, drop_incomplete
 from panelcast.operators.windows import lags, whole
+from panelcast.session import cut_lineage
 
 # Above this many features the p*p/2 covariance aggregates outgrow generated code; the rows of one
 # series (bounded by the calendar) then go through numpy instead.
@@ -64,26 +65,25 @@ def _moment_fields() -> list[T.StructField]:
 def moments(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
     """Per series: count, means, and population covariances of complete rows."""
     p = len(xs)
-    rows = df.select(*keys, F.col(y).cast("double").alias("_y"), *[
-        F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)
-    ]).na.drop("any", subset=["_y", *[f"_x{i}" for i in range(p)]])
+    rows = drop_incomplete(df.select(*keys, *doubles(df, [y, *xs])), [y, *xs])
     pairs = _pairs(p)
     if p <= MAX_AGGREGATED_FEATURES:
         return rows.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"),
-            F.avg("_y").alias("y_mean"),
-            F.var_pop("_y").alias("y_var"),
-            F.array(*[F.avg(f"_x{i}") for i in range(p)]).alias("x_mean"),
-            F.array(*[F.covar_pop(f"_x{i}", f"_x{j}") for i, j in pairs]).alias("cov"),
-            F.array(*[F.covar_pop(f"_x{i}", "_y") for i in range(p)]).alias("cov_xy"),
+            F.avg(y).alias("y_mean"),
+            F.var_pop(y).alias("y_var"),
+            F.array(*[F.avg(x) for x in xs]).alias("x_mean"),
+            F.array(*[F.covar_pop(xs[i], xs[j]) for i, j in pairs]).alias("cov"),
+            F.array(*[F.covar_pop(x, y) for x in xs]).alias("cov_xy"),
         )
+    key_names, columns = list(keys), list(xs)
 
     def block_moments(block: pd.DataFrame) -> pd.DataFrame:
-        x = block[[f"_x{i}" for i in range(p)]].to_numpy()
-        target = block["_y"].to_numpy()
+        x = block[columns].to_numpy()
+        target = block[y].to_numpy()
         xc, yc = x - x.mean(0), target - target.mean()
         cov = xc.T @ xc / len(x)
-        row = {k: [block[k].iloc[0]] for k in keys}
+        row = {k: [block[k].iloc[0]] for k in key_names}
         row |= {
             "n": [len(x)],
             "y_mean": [target.mean()],
@@ -262,18 +262,19 @@ def bridge_fit_pooled(
     """Same objective for all series together.
 
     spark.ml penalises on a label scaled to unit deviation, so the textbook pair (alpha, l1_ratio)
-    is re-expressed for it.  The driver sees 2p + 2 numbers for the scaling and p + 1 for the fit.
+    is re-expressed for it.  The rows are written once, since scaling, fit and residuals each read
+    them.  The driver sees 2p + 2 numbers for the scaling and p + 1 for the fit.
     """
-    rows = df.select(F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(x) for x in xs]).na.drop()
+    rows = cut_lineage(drop_incomplete(df.select(*doubles(df, [y, *xs]))))
     scale = rows.agg(
-        F.stddev_pop("_y").alias("_sy"),
+        F.stddev_pop(y).alias("_sy"),
         *[F.avg(x).alias(f"_m{i}") for i, x in enumerate(xs)],
         *[F.stddev_pop(x).alias(f"_s{i}") for i, x in enumerate(xs)],
     ).first()
     means = [scale[f"_m{i}"] for i in range(len(xs))]
     sds = [scale[f"_s{i}"] or 1.0 for i in range(len(xs))]
     design = rows.select(
-        "_y",
+        F.col(y).alias("_y"),
         array_to_vector(F.array(*[(F.col(x) - m) / s for x, m, s in zip(xs, means, sds)])).alias("_z"),
     )
     reg = alpha * l1_ratio + alpha * (1 - l1_ratio) * scale["_sy"]
@@ -285,7 +286,7 @@ def bridge_fit_pooled(
     coef = [float(c) / s for c, s in zip(model.coefficients, sds)]
     intercept = float(model.intercept) - sum(c * m for c, m in zip(coef, means))
     pooled = PooledBridge(list(xs), intercept, coef, 0.0)
-    sigma = pooled.predict(rows).agg(F.stddev_pop(F.col("_y") - F.col("yhat"))).first()[0]
+    sigma = pooled.predict(rows).agg(F.stddev_pop(F.col(y) - F.col("yhat"))).first()[0]
     pooled.sigma = float(sigma)
     return pooled
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def assemble_wide(
@@ -76,16 +76,33 @@ def split_xy(df: DataFrame, target: str, index: Sequence[str] = ()) -> tuple[Dat
     return df.drop(target), df.select(*index, target)
 
 
+def known(df: DataFrame, cols: Sequence[str]) -> Column:
+    """All columns present (neither NULL nor NaN).
+
+    One predicate per column: each can be pushed down on its own, and the optimizer does not have
+    to carry one expression over all of them through every rename.
+    """
+    out = F.lit(True)
+    for c in cols:
+        out = out & F.col(c).isNotNull()
+        if df.schema[c].dataType.typeName() in ("double", "float"):
+            out = out & ~F.isnan(c)
+    return out
+
+
 def drop_incomplete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    return df.na.drop("any", subset=list(cols) if cols else None)
+    return df.filter(known(df, cols or df.columns))
+
+
+def doubles(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """The columns as DOUBLE, left alone where they already are."""
+    types = dict(df.dtypes)
+    return [F.col(c) if types[c] == "double" else F.col(c).cast("double").alias(c) for c in cols]
 
 
 def incomplete_counts(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Rows, rows that ``drop_incomplete`` keeps, and rows it drops, per series, in one aggregate."""
-    complete = F.lit(True)
-    for c in cols:
-        complete = complete & F.col(c).isNotNull()
-    kept = F.sum(complete.cast("long"))
+    kept = F.sum(known(df, cols).cast("long"))
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         kept.alias("n_kept"),

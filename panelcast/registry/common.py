@@ -23,7 +23,7 @@ def digits_of(col: str) -> int:
         return 8
     if col.startswith("price_index") or col.endswith(("_sin", "_cos")) or col == "index":
         return 6
-    return 2 if col.startswith("rev_") else 4
+    return 2 if col.startswith(("rev_mean", "rev_std")) else 4
 
 
 def rounded(df: DataFrame, **by_col: int) -> DataFrame:

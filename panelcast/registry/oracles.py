@@ -260,7 +260,7 @@ oracle("c6_attach_baseline", f"SELECT series, model, {ERR}, {r('base_rmse')} AS
 oracle(
     "d1_daily_to_monthly",
     "SELECT series, ds, " + ", ".join(
-        f"{r(f'{c}_{s}', digits_of(c + '_'))} AS {c}_{s}" for c in ("qty", "rev") for s in ("mean", "std", "last")) + " FROM daily20",
+        f"{r(f'{c}_{s}', digits_of(f'{c}_{s}'))} AS {c}_{s}" for c in ("qty", "rev") for s in ("mean", "std", "last")) + " FROM daily20",
     "daily20",
 )
 oracle("d2_weekly_to_monthly", f"SELECT series, ds, {r('idx_mean')} AS idx_mean, {r('idx_last')} AS idx_last FROM weekly20", "weekly20")
@@ -291,7 +291,7 @@ def describe(source: str, col: str, keys: str, digits: int) -> str:
     return f"SELECT {lead}'{col}' AS \"column\", count({col}) AS \"count\", {cols} FROM {source}{group}"
 
 
-oracle("d5_describe_panel", " UNION ALL ".join(describe("dp", c, "series", 4) for c in ("qty", "rev")), "dp")
+oracle("d5_describe_panel", " UNION ALL ".join(describe("dp", c, "series", 2) for c in ("qty", "rev")), "dp")
 oracle(
     "d5_describe_whole_table",
     " UNION ALL ".join(describe("lineitem", c, "", 4) for c in ("l_quantity", "l_extendedprice", "l_tax")),
@@ -460,7 +460,7 @@ for name, lead in (("e2_rolling_mean", 0), ("e2_rolling_mean_shifted", 1)):
 CHANGE = f"policy_rate - lag(policy_rate, 12) {W}"
 oracle(
     "e3_shock",
-    f"""SELECT series, ds, {r('policy_rate', 10)} AS policy_rate, {r(CHANGE, 6)} AS policy_rate_12m_change,
+    f"""SELECT series, ds, {r('policy_rate', 10)} AS policy_rate, {r(CHANGE, 10)} AS policy_rate_12m_change,
 {r(f'abs({CHANGE})', 10)} AS policy_rate_shock_magnitude FROM macro""",
     "macro",
 )
@@ -475,7 +475,7 @@ def mom(col: str) -> str:
     return f"{pad(col, 'CURRENT ROW')} / nullif({pad(col, '1 PRECEDING')}, 0) - 1"
 
 
-oracle("e4_pct_change", f"SELECT series, ds, {r('y')} AS y, {r(mom('y'), 6)} AS y_mom FROM target", "target")
+oracle("e4_pct_change", f"SELECT series, ds, {r('y')} AS y, {r(mom('y'), 8)} AS y_mom FROM target", "target")
 oracle(
     "e4_pct_change_nofill",
     f"SELECT series, ds, {r('y')} AS y, {r(f'y / nullif(lag(y) {W}, 0) - 1', 8)} AS y_mom FROM target",
@@ -499,8 +499,8 @@ FROM (SELECT *, lag(y, 1) {W} AS y_lag1, lag(y, 12) {W} AS y_lag12,
 oracle(
     "e6_deflate",
     f"""SELECT series, ds, {r('y')} AS y, {r('price_index', 6)} AS price_index,
-{r('y / nullif(price_index / nullif(p0, 0) * 100, 0) * 100')} AS real_first,
-{r('y / nullif(price_index / nullif(p98, 0) * 100, 0) * 100')} AS real_1998
+{r('y / nullif(price_index / nullif(p0, 0) * 100, 0) * 100', 2)} AS real_first,
+{r('y / nullif(price_index / nullif(p98, 0) * 100, 0) * 100', 2)} AS real_1998
 FROM (SELECT *, first_value(price_index) {W} AS p0,
  avg(CASE WHEN year(ds) = 1998 THEN price_index END) {ALL} AS p98 FROM macro)""",
     "macro",
@@ -609,7 +609,7 @@ oracle("g3_scenario_table", f"SELECT series, scenario, last_ds, {r('final_value'
 Z = ", ".join(
     r(f"({d} - avg(CASE WHEN split = 'train' THEN {d} END) {ALL}) / "
       f"CASE WHEN stddev_pop(CASE WHEN split = 'train' THEN {d} END) {ALL} = 0 THEN 1 "
-      f"ELSE stddev_pop(CASE WHEN split = 'train' THEN {d} END) {ALL} END") + f" AS {d}_z"
+      f"ELSE stddev_pop(CASE WHEN split = 'train' THEN {d} END) {ALL} END", digits_of(d)) + f" AS {d}_z"
     for d in DRIVERS
 )
 oracle(
@@ -685,7 +685,7 @@ cte(
 FROM (SELECT series, y, lag(y) {W} AS l FROM known) GROUP BY 1""",
     "known",
 )
-oracle("h3_ar1_fit", f"SELECT series, {r('a', 2)} AS intercept, {r('b', 6)} AS slope, n FROM ar1", "ar1")
+oracle("h3_ar1_fit", f"SELECT series, {r('a', 2)} AS intercept, {r('b')} AS slope, n FROM ar1", "ar1")
 cte(
     "walk",
     """SELECT series, last, 0 AS step, v, a, b FROM
@@ -751,7 +751,7 @@ oracle("h16_persistence_forecast", "SELECT series, ds, yhat FROM flat", "flat")
 oracle(
     "h17_vintage_curve",
     f"""SELECT series, cutoff, m AS ds, {', '.join(
-        f"{r(e.format(c=c), digits_of(c + '_'))} AS {c}_{s}" for c in ('qty', 'rev')
+        f"{r(e.format(c=c), digits_of(f'{c}_{s}'))} AS {c}_{s}" for c in ('qty', 'rev')
         for s, e in (('mean', 'avg({c})'), ('std', 'stddev_samp({c})'), ('last', 'max_by({c}, ds)')))}
 FROM (SELECT *, {MONTH.format('ds')} AS m FROM dp), (SELECT CAST(unnest([10, 20, 30]) AS INTEGER) AS cutoff)
 WHERE day(ds) <= cutoff GROUP BY 1, 2, 3""",

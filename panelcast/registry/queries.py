@@ -306,9 +306,12 @@ def d4_duplicate_rows(spark, sf):
     return quality.duplicate_rows(rows, KEYS, ["qty", "n_lines"])
 
 
+_TWO = dict.fromkeys(("mean", "std", "min", "p25", "p50", "p75", "max"), 2)
+
+
 @query
 def d5_describe_panel(spark, sf):
-    return rounded(quality.describe_panel(td.daily_indicator(spark, sf), KEYS, ["qty", "rev"]))
+    return rounded(quality.describe_panel(td.daily_indicator(spark, sf), KEYS, ["qty", "rev"]), **_TWO)
 
 
 @query
@@ -676,7 +679,7 @@ def h8_recursive_boosted(spark, sf):
 
 @query
 def h9_direct_forecast(spark, sf):
-    return rounded(forecast.direct_forecast_ar1(known_target(spark, sf), KEYS))
+    return rounded(forecast.direct_forecast_ar1(known_target(spark, sf), KEYS), yhat=2)
 
 
 @query
@@ -718,7 +721,7 @@ def h11_structural_predict(spark, sf):
 
 def _ridge_contributions(spark, sf):
     model, rows = _ridge(spark, sf)
-    return explain.linear_contributions(model, rows.na.drop("any", subset=LAG_XS), KEYS, LAG_XS)
+    return explain.linear_contributions(model, shape.drop_incomplete(rows, LAG_XS), KEYS, LAG_XS)
 
 
 @query
