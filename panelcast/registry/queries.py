@@ -821,8 +821,7 @@ def s1_stream_rollup(spark, sf):
     like = td.table(spark, sf, "events")
     feed = rollup.read_feed(spark, f"{sf}/event[s].parquet", like).select("event_type", "ts", "value")
     rolled = rollup.stream_rollup(feed, ["event_type"], "value", watermark="30 days")
-    stats = rollup.feed_stats(rollup.run_to_table(rolled, ["event_type"]))
-    return rounded(stats.drop("total_sq"))
+    return rounded(rollup.run_to_table(rolled, ["event_type"]))
 
 
 @query

@@ -16,24 +16,17 @@ def read_feed(spark: SparkSession, path: str, like: DataFrame, fmt: str = "parqu
 
 
 def feed_aggregates(value: str, ts: str) -> list[Column]:
-    """Mergeable sums only, so late rows and restarts cost nothing extra."""
+    """Mergeable aggregates: the state of a window is a few numbers, however many rows it has."""
     v = F.col(value)
     return [
         F.count(v).alias("n"),
         F.sum(v).alias("total"),
-        F.sum(v * v).alias("total_sq"),
+        F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("std"),
         F.max_by(v, F.when(v.isNotNull(), F.col(ts))).alias("last"),
     ]
 
 
-def feed_stats(rolled: DataFrame) -> DataFrame:
-    """Mean and sample deviation from the sums."""
-    n = F.col("n")
-    mean = F.try_divide(F.col("total"), n)
-    spread = F.try_divide(F.col("total_sq") - n * mean * mean, n - 1)
-    return rolled.withColumns({"mean": mean, "std": F.sqrt(F.greatest(spread, F.lit(0.0)))})
-
-
 def stream_rollup(
     events: DataFrame,
     keys: Sequence[str],
@@ -42,13 +35,13 @@ def stream_rollup(
     width: str = "1 day",
     watermark: str = "7 days",
 ) -> DataFrame:
-    """``(keys..., ds, n, total, total_sq, last)`` per window.  Works on batch and stream frames;
+    """``(keys..., ds, n, total, mean, std, last)`` per window.  Works on batch and stream frames;
     on a stream the watermark bounds the state."""
     rows = events.withColumn("_ts", F.col(ts).cast("timestamp"))
     if rows.isStreaming:
         rows = rows.withWatermark("_ts", watermark)
     windows = rows.groupBy(*keys, F.window("_ts", width).alias("_w")).agg(*feed_aggregates(value, "_ts"))
-    return windows.select(*keys, F.col("_w.start").cast("date").alias("ds"), "n", "total", "total_sq", "last")
+    return windows.select(*keys, F.col("_w.start").cast("date").alias("ds"), "n", "total", "mean", "std", "last")
 
 
 def late_rows(events: DataFrame, keys: Sequence[str], cutoff: int, ts: str = "ts") -> DataFrame:
