@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast.functions.dates import month_floor
 from panelcast.functions.spec import FeatureSpec, lag_name
@@ -75,6 +75,41 @@ def vintage_curve(
     )
 
 
+def _recency(df: DataFrame, keys: Sequence[str], col: str, cutoff: int | None, ds: str) -> DataFrame:
+    """Known values of each month numbered from the newest (1); a month has at most 31 of them."""
+    rows = cutoff_filter(df, cutoff, ds).filter(F.col(col).isNotNull())
+    rows = rows.select(*keys, month_floor(ds).alias("_month"), ds, col)
+    newest_first = Window.partitionBy(*keys, "_month").orderBy(F.desc(ds))
+    return rows.withColumn("_at", F.row_number().over(newest_first))
+
+
+def almon_mean(
+    df: DataFrame,
+    keys: Sequence[str],
+    col: str,
+    weights: Sequence[float] = (1.0, -0.02),
+    cutoff: int | None = None,
+    ds: str = "ds",
+) -> DataFrame:
+    """Monthly mean with polynomial weights w(j) = sum_p weights[p] * j^p on the recency j."""
+    rows = _recency(df, keys, col, cutoff, ds)
+    w = F.lit(0.0)
+    for power, factor in enumerate(weights):
+        w = w + F.pow(F.col("_at").cast("double"), F.lit(power)) * factor
+    total = F.try_divide(F.sum(w * F.col(col)), F.sum(w)).alias(f"{col}_almon")
+    return rows.groupBy(*keys, F.col("_month").alias(ds)).agg(total)
+
+
+def umidas_features(
+    df: DataFrame, keys: Sequence[str], col: str, k: int = 5, cutoff: int | None = None, ds: str = "ds"
+) -> DataFrame:
+    """The newest ``k`` values of each month as separate regressors ``{col}_d1`` (newest) .. ``_dk``."""
+    rows = _recency(df, keys, col, cutoff, ds).filter(F.col("_at") <= k)
+    return rows.groupBy(*keys, F.col("_month").alias(ds)).agg(
+        *[F.max(F.when(F.col("_at") == j, F.col(col))).alias(f"{col}_d{j}") for j in range(1, k + 1)]
+    )
+
+
 def nowcast_feature_specs(
     daily_cols: Sequence[str],
     weekly_cols: Sequence[str],

@@ -774,10 +774,30 @@ LEFT JOIN (SELECT series, string_agg(feature, ',' ORDER BY rank) AS top_features
 oracle(
     "s1_stream_rollup",
     f"""SELECT event_type, CAST(ts AS DATE) AS ds, count(value) AS n, {r('sum(value)')} AS total,
-{r('max_by(value, ts)')} AS last, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS std FROM events GROUP BY event_type, CAST(ts AS DATE)""",
+{r('max_by(value, ts)')} AS last, {r('avg(value)', 6)} AS mean, {r('stddev_samp(value)')} AS std FROM events GROUP BY event_type, CAST(ts AS DATE)""",
 )
 oracle(
     "s2_late_rows",
     f"""SELECT event_type, {MONTH.format('ts')} AS ds, count(*) FILTER (WHERE day(ts) <= 20) AS n_in_time,
 count(*) FILTER (WHERE day(ts) > 20) AS n_late FROM events GROUP BY event_type, {MONTH.format('ts')}""",
 )
+
+# ---- other weightings of the days of a month
+cte(
+    "recent",
+    f"""SELECT series, {MONTH.format('ds')} AS m, qty, rev,
+row_number() OVER (PARTITION BY series, {MONTH.format('ds')} ORDER BY ds DESC) AS j FROM dp WHERE day(ds) <= 20""",
+    "dp",
+)
+WEIGHT = "(1 - 0.02::DOUBLE * j + 0.0001::DOUBLE * j * j)"
+oracle(
+    "x1_almon_mean",
+    f"SELECT series, m AS ds, {r(f'sum(qty * {WEIGHT}) / sum({WEIGHT})')} AS qty_almon FROM recent GROUP BY 1, 2",
+    "recent",
+)
+oracle(
+    "x2_umidas_features",
+    "SELECT series, m AS ds, " + ", ".join(f"{r(f'max(CASE WHEN j = {j} THEN rev END)')} AS rev_d{j}" for j in range(1, 6))
+    + " FROM recent GROUP BY 1, 2",
+    "recent",
+)

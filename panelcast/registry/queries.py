@@ -30,6 +30,16 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _weekly(spark, sf) -> DataFrame:
+    return td.weekly_indicator(td.daily_indicator(spark, sf))
+
+
+def _indicators(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Daily and weekly panel; the daily one is written once, as the raw rows feed both."""
+    daily = cut_lineage(td.daily_indicator(spark, sf))
+    return daily.select("series", "ds", "qty", "rev"), td.weekly_indicator(daily)
+
+
 # ---- sources, sinks, calendars -------------------------------------------------------------
 
 @query
@@ -110,7 +120,7 @@ def a8_melt_series(spark, sf):
 
 @query
 def a9_dedupe_columns(spark, sf):
-    panel = td.weekly_indicator(spark, sf)
+    panel = _weekly(spark, sf)
     doubled = panel.select("*", "idx", F.lit(False).alias("isPartial"))
     return io.dedupe_columns(doubled, drop=["isPartial"])
 
@@ -242,8 +252,9 @@ def b18_residuals(spark, sf):
 
 @query
 def c1_join_frequencies(spark, sf):
-    d = align.daily_to_monthly(td.daily_indicator(spark, sf), KEYS, ["qty"], 20)
-    w = align.weekly_to_monthly(td.weekly_indicator(spark, sf), KEYS, ["idx"], 20)
+    daily = cut_lineage(td.daily_indicator(spark, sf))
+    d = align.daily_to_monthly(daily, KEYS, ["qty"], 20)
+    w = align.weekly_to_monthly(td.weekly_indicator(daily), KEYS, ["idx"], 20)
     return rounded(shape.join_frequencies(d, w, KEYS))
 
 
@@ -292,7 +303,7 @@ def d1_daily_to_monthly(spark, sf):
 
 @query
 def d2_weekly_to_monthly(spark, sf):
-    return rounded(align.weekly_to_monthly(td.weekly_indicator(spark, sf), KEYS, ["idx"], 20))
+    return rounded(align.weekly_to_monthly(_weekly(spark, sf), KEYS, ["idx"], 20))
 
 
 @query
@@ -438,7 +449,7 @@ def e7_chain_index(spark, sf):
 
 @query
 def e8_minmax_scale(spark, sf):
-    return td.weekly_indicator(spark, sf)
+    return _weekly(spark, sf)
 
 
 @query
@@ -557,9 +568,9 @@ def _nowcast(spark, sf, known=False) -> tuple[DataFrame, list[FeatureSpec]]:
     y = td.monthly_target(spark, sf)
     if known:
         y = td.known_until(y)
-    daily = td.daily_indicator(spark, sf).select("series", "ds", "qty", "rev")
+    daily, weekly = _indicators(spark, sf)
     rows = align.nowcast_features(
-        y, KEYS, "y", daily=(daily, ["qty", "rev"]), weekly=(td.weekly_indicator(spark, sf), ["idx"])
+        y, KEYS, "y", daily=(daily, ["qty", "rev"]), weekly=(weekly, ["idx"])
     )
     return rows, align.nowcast_feature_specs(["qty", "rev"], ["idx"])
 
@@ -797,10 +808,10 @@ def h19_run_summary(spark, sf):
 
 @query
 def h19_nowcast_run(spark, sf):
-    daily = td.daily_indicator(spark, sf).select("series", "ds", "qty", "rev")
+    daily, weekly = _indicators(spark, sf)
     result = nowcast_plan.run_nowcast(
         td.known_until(td.monthly_target(spark, sf)), KEYS, (daily, ["qty", "rev"]),
-        (td.weekly_indicator(spark, sf), ["idx"]), boost=NowcastBoostConfig(n_estimators=ROUNDS),
+        (weekly, ["idx"]), boost=NowcastBoostConfig(n_estimators=ROUNDS),
     )
     return rounded(result.summary)
 
@@ -821,9 +832,21 @@ def s1_stream_rollup(spark, sf):
     like = td.table(spark, sf, "events")
     feed = rollup.read_feed(spark, f"{sf}/event[s].parquet", like).select("event_type", "ts", "value")
     rolled = rollup.stream_rollup(feed, ["event_type"], "value", watermark="30 days")
-    return rounded(rollup.run_to_table(rolled, ["event_type"]))
+    return rounded(rollup.run_to_table(rolled, ["event_type"]), mean=6)
 
 
 @query
 def s2_late_rows(spark, sf):
     return rollup.late_rows(td.table(spark, sf, "events"), ["event_type"], 20)
+
+
+# ---- other weightings of the days of a month -----------------------------------------------
+
+@query
+def x1_almon_mean(spark, sf):
+    return rounded(align.almon_mean(td.daily_indicator(spark, sf), KEYS, "qty", (1.0, -0.02, 0.0001), 20))
+
+
+@query
+def x2_umidas_features(spark, sf):
+    return rounded(align.umidas_features(td.daily_indicator(spark, sf), KEYS, "rev", 5, 20), **{f"rev_d{j}": 4 for j in range(1, 6)})

@@ -8,7 +8,7 @@ split by AQE's skew join; a segment that does is collapsed by the map-side combi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelcast.functions.dates import month_floor, week_label
 
@@ -19,8 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _money(col: str):
-    return F.col(col).cast("decimal(18,2)")
+def _hundredths(col: str) -> Column:
+    """Two-decimal doubles as whole hundredths.
+
+    Integer sums are exact in any order and stay in generated code, unlike decimals of this width.
+    An overflow of the 63 bits raises an error (ANSI mode).
+    """
+    return F.rint(F.col(col) * 100).cast("bigint")
+
+
+def _exact_sum(col: str) -> Column:
+    return F.sum(_hundredths(col)) / F.lit(100.0)
 
 
 def _orders_by_key(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
@@ -33,7 +42,7 @@ def _monthly_orders(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     rows = _orders_by_key(spark, sf_dir, key)
     month = month_floor(F.col("o_orderdate").cast("date"))
     return rows.groupBy("series", month.alias("ds")).agg(
-        F.sum(_money("o_totalprice")).cast("double").alias("y")
+        _exact_sum("o_totalprice").alias("y")
     )
 
 
@@ -56,27 +65,24 @@ def _shipped_rows(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 def daily_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DP: shipped quantity, revenue and line count by segment and day."""
     rows = _shipped_rows(spark, sf_dir, "l_quantity", "l_extendedprice", "l_discount")
-    revenue = F.col("l_extendedprice").cast("decimal(12,2)") * (
-        F.lit(1).cast("decimal(1,0)") - F.col("l_discount").cast("decimal(4,2)")
-    )
+    revenue = _hundredths("l_extendedprice") * (100 - _hundredths("l_discount"))
     return rows.groupBy("series", F.col("l_shipdate").cast("date").alias("ds")).agg(
-        F.sum(_money("l_quantity")).cast("double").alias("qty"),
-        F.sum(revenue).cast("double").alias("rev"),
+        _exact_sum("l_quantity").alias("qty"),
+        (F.sum(revenue) / F.lit(10000.0)).alias("rev"),
         F.count(F.lit(1)).alias("n_lines"),
     )
 
 
-def weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _shipped_rows(spark, sf_dir)
-    label = week_label(F.col("l_shipdate").cast("date"))
-    return rows.groupBy("series", label.alias("ds")).agg(F.count(F.lit(1)).alias("n_lines"))
-
+def weekly_indicator(daily: DataFrame) -> DataFrame:
+    """WP: weekly activity scaled to 0-100 inside each series, labelled by its Sunday.
 
-def weekly_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WP: weekly activity scaled to 0-100 inside each series, labelled by its Sunday."""
+    Rolled up from the daily panel, so the line items are not read again.
+    """
     from panelcast.operators.windows import minmax_scale
 
-    weeks = weekly_counts(spark, sf_dir).withColumn("n_lines", F.col("n_lines").cast("double"))
+    weeks = daily.groupBy("series", week_label("ds").alias("ds")).agg(
+        F.sum("n_lines").cast("double").alias("n_lines")
+    )
     return minmax_scale(weeks, SERIES, "n_lines", name="idx").select("series", "ds", "idx")
 
 
@@ -87,7 +93,7 @@ def monthly_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     month = month_floor(F.col("l_shipdate").cast("date"))
     return rows.groupBy("series", month.alias("ds")).agg(
-        F.sum(_money("l_extendedprice")).cast("double").alias("production"),
+        _exact_sum("l_extendedprice").alias("production"),
         F.avg("l_discount").alias("policy_rate"),
         F.avg((F.col("l_returnflag") == "R").cast("double")).alias("unemployment"),
         F.avg("l_tax").alias("fx"),
