@@ -20,9 +20,9 @@ from panelcast.operators.shape import attach, doubles, drop_incomplete
 from panelcast.operators.windows import lags, whole
 from panelcast.session import cut_lineage
 
-# Above this many features the p*p/2 covariance aggregates outgrow generated code; the rows of one
-# series (bounded by the calendar) then go through numpy instead.
-MAX_AGGREGATED_FEATURES = 12
+# Small designs are reduced to covariances inside the JVM, with map-side combine.  Wider ones would
+# need p*p/2 aggregates, and handing the rows of a series to numpy as one flat array is faster.
+MAX_AGGREGATED_FEATURES = 6
 MAX_SWEEPS = 5000
 TOLERANCE = 1e-12
 
@@ -76,26 +76,29 @@ def moments(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> Da
             F.array(*[F.covar_pop(xs[i], xs[j]) for i, j in pairs]).alias("cov"),
             F.array(*[F.covar_pop(x, y) for x in xs]).alias("cov_xy"),
         )
-    key_names, columns = list(keys), list(xs)
-
-    def block_moments(block: pd.DataFrame) -> pd.DataFrame:
-        x = block[columns].to_numpy()
-        target = block[y].to_numpy()
-        xc, yc = x - x.mean(0), target - target.mean()
-        cov = xc.T @ xc / len(x)
-        row = {k: [block[k].iloc[0]] for k in key_names}
-        row |= {
-            "n": [len(x)],
-            "y_mean": [target.mean()],
-            "y_var": [yc @ yc / len(x)],
-            "x_mean": [x.mean(0)],
-            "cov": [np.array([cov[i, j] for i, j in pairs])],
-            "cov_xy": [xc.T @ yc / len(x)],
-        }
-        return pd.DataFrame(row)
+    key_names = list(keys)
 
+    def batch_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[[*key_names, "n"]].copy()
+            found = {"y_mean": [], "y_var": [], "x_mean": [], "cov": [], "cov_xy": []}
+            for flat in batch["_flat"]:
+                rows = flat.reshape(-1, p + 1)
+                mean = rows.mean(0)
+                cov = (rows - mean).T @ (rows - mean) / len(rows)
+                found["y_mean"].append(mean[0])
+                found["y_var"].append(cov[0, 0])
+                found["x_mean"].append(mean[1:])
+                found["cov"].append(np.array([cov[i + 1, j + 1] for i, j in pairs]))
+                found["cov_xy"].append(cov[0, 1:])
+            yield out.assign(**found)
+
+    # The rows of one series, bounded by its calendar, as one flat array; their order is free.
+    series = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.flatten(F.collect_list(F.array(y, *xs))).alias("_flat")
+    )
     schema = T.StructType([df.schema[k] for k in keys] + _moment_fields())
-    return rows.groupBy(*keys).applyInPandas(block_moments, schema)
+    return series.mapInPandas(batch_moments, schema)
 
 
 def solve_penalized(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -110,10 +110,12 @@ def structural_predict(
     )
 
 
-def _fourier(ds: pd.Series, order: int) -> np.ndarray:
-    angle = 2 * np.pi * ds.dt.dayofyear.to_numpy() / 365.25
-    waves = [f(angle * k) for k in range(1, order + 1) for f in (np.sin, np.cos)]
-    return np.stack(waves, axis=1)
+def _fourier(days: np.ndarray, order: int) -> np.ndarray:
+    """Sine and cosine waves of the day of the year; ``days`` counts from 1970-01-01."""
+    date = days.astype("datetime64[D]")
+    day_of_year = (date - date.astype("datetime64[Y]")).astype(int) + 1
+    angle = 2 * np.pi * day_of_year / 365.25
+    return np.stack([f(angle * k) for k in range(1, order + 1) for f in (np.sin, np.cos)], axis=1)
 
 
 def piecewise_fit(
@@ -131,51 +133,61 @@ def piecewise_fit(
     """Piecewise-linear trend and Fourier season by ridge, one fit per series.
 
     Knots lie evenly in the first ``history_share`` of the history; time runs from 0 to 1.  A
-    series is bounded by its calendar, so it fits in one pandas block.
+    series is bounded by its calendar, so it travels as one row of two arrays, and a task fits the
+    series of a whole Arrow batch without a pandas frame per series.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    key_names = list(keys)
-
-    def fit(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("_ds")
-        when = pd.to_datetime(block["_ds"])
-        target = block["_y"].to_numpy(dtype=float)
-        span = max((when.iloc[-1] - when.iloc[0]).days, 1)
-        t = (when - when.iloc[0]).dt.days.to_numpy() / span
+
+    def fit_one(days: np.ndarray, target: np.ndarray) -> dict:
+        span = max(int(days[-1] - days[0]), 1)
+        t = (days - days[0]) / span
         n = len(t)
         size = float(np.abs(target).max()) or 1.0
         inside = int(min(n_knots, max(int(n * history_share) - 1, 0)))
         places = np.linspace(0, int(n * history_share) - 1, inside + 1).round().astype(int)[1:]
         knots = t[places]
         hinges = np.maximum(t[:, None] - knots[None, :], 0.0)
-        waves = _fourier(when, order)
         base = np.stack([np.ones(n), t], axis=1)
         straight = np.linalg.lstsq(base, target / size, rcond=None)[0]
         factor = np.ones(n) if mode == "additive" else base @ straight
-        design = np.hstack([base, hinges, waves * factor[:, None]])
+        design = np.hstack([base, hinges, _fourier(days, order) * factor[:, None]])
         penalty = np.r_[1e-8, 1e-8, np.full(len(knots), knot_penalty), np.full(2 * order, wave_penalty)]
         beta = np.linalg.solve(design.T @ design + np.diag(penalty), design.T @ (target / size))
-        rest = target / size - design @ beta
         cut = 2 + len(knots)
-        row = {k: [block[k].iloc[0]] for k in key_names}
-        row |= {
-            "n": [n], "first_ds": [block["_ds"].iloc[0]], "last_ds": [block["_ds"].iloc[-1]],
-            "span_days": [float(span)], "intercept": [beta[0] * size], "slope": [beta[1] * size],
-            "straight": [straight * size], "knots": [knots], "knot_slopes": [beta[2:cut] * size],
-            "waves": [beta[cut:] * (size if mode == "additive" else 1.0)],
-            "sigma": [float(rest.std() * size)], "mode": [mode],
+        return {
+            "span_days": float(span),
+            "intercept": beta[0] * size,
+            "slope": beta[1] * size,
+            "straight": straight * size,
+            "knots": knots,
+            "knot_slopes": beta[2:cut] * size,
+            "waves": beta[cut:] * (size if mode == "additive" else 1.0),
+            "sigma": float((target / size - design @ beta).std() * size),
         }
-        return pd.DataFrame(row)
+
+    names = [*keys, "n", "first_ds", "last_ds"]
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fits = [fit_one(d.astype("int64"), v) for d, v in zip(batch["_days"], batch["_values"])]
+            found = pd.DataFrame(fits, index=batch.index, columns=[f for f, _ in fields])
+            yield pd.concat([batch[names], found], axis=1)
 
     doubles = T.ArrayType(T.DoubleType())
-    fields = [("n", T.LongType()), ("first_ds", T.DateType()), ("last_ds", T.DateType())]
-    fields += [(c, T.DoubleType()) for c in ("span_days", "intercept", "slope")]
+    fields = [(c, T.DoubleType()) for c in ("span_days", "intercept", "slope")]
     fields += [(c, doubles) for c in ("straight", "knots", "knot_slopes", "waves")]
-    fields += [("sigma", T.DoubleType()), ("mode", T.StringType())]
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(c, t) for c, t in fields])
-    rows = df.filter(F.col(y).isNotNull()).select(*keys, F.col(ds).alias("_ds"), F.col(y).alias("_y"))
-    return rows.groupBy(*keys).applyInPandas(fit, schema)
+    fields += [("sigma", T.DoubleType())]
+    points = F.array_sort(F.collect_list(F.struct(F.unix_date(ds).alias("d"), F.col(y).cast("double").alias("v"))))
+    series = df.filter(F.col(y).isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(ds).alias("first_ds"), F.max(ds).alias("last_ds"),
+        points.alias("_points"),
+    )
+    arrays = series.select(
+        *names, F.col("_points.d").alias("_days"), F.col("_points.v").alias("_values")
+    )
+    schema = T.StructType([arrays.schema[c] for c in names] + [T.StructField(c, t) for c, t in fields])
+    return arrays.mapInPandas(fit, schema).withColumn("mode", F.lit(mode))
 
 
 def piecewise_predict(

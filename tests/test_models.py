@@ -29,6 +29,12 @@ def descend(x, y, alpha, rho, sweeps=20_000):
     return y.mean() - coef @ mean, coef
 
 
+def objective(x, y, intercept, coef, alpha, rho):
+    w = coef * x.std(0)
+    loss = ((y - intercept - x @ coef) ** 2).mean() / 2
+    return loss + alpha * rho * np.abs(w).sum() + alpha * (1 - rho) / 2 * (w @ w)
+
+
 def design(seed, n=80, p=5):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, p)) * np.arange(1, p + 1) + 3
@@ -54,9 +60,12 @@ def test_per_series_elastic_net(spark, p, alpha, rho):
     got = pandas_of(model, "k")
     for b, (x, y) in enumerate(blocks):
         intercept, coef = descend(x, y, alpha, rho)
-        assert np.allclose(got["coef"][b], coef, atol=1e-7)
-        assert np.isclose(got["intercept"][b], intercept)
-        assert np.isclose(got["sigma"][b], (y - intercept - x @ coef).std())
+        if rho < 1:
+            assert np.allclose(got["coef"][b], coef, atol=1e-7)
+        # Nearly equal columns make the lasso optimum flat: compare what is minimised.
+        found = got["intercept"][b], got["coef"][b]
+        assert objective(x, y, *found, alpha, rho) <= objective(x, y, intercept, coef, alpha, rho) + 1e-8
+        assert np.isclose(got["sigma"][b], (y - found[0] - x @ found[1]).std())
 
 
 @pytest.mark.parametrize("alpha,rho", [(0.5, 0.5), (1.0, 0.0)])
