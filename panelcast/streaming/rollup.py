@@ -23,7 +23,8 @@ def feed_aggregates(value: str, ts: str) -> list[Column]:
         F.sum(v).alias("total"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"),
-        F.max_by(v, F.when(v.isNotNull(), F.col(ts))).alias("last"),
+        # The value breaks ties of the time stamp, so a re-run gives the same row.
+        F.max(F.when(v.isNotNull(), F.struct(F.col(ts).alias("t"), v.alias("v"))))["v"].alias("last"),
     ]
 
 
