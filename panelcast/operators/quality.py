@@ -68,12 +68,11 @@ def _whole_table_quartiles(long: DataFrame) -> DataFrame:
     so the ranks come from a table of about 6 / accuracy of the rows, built by map-side combine.
     """
     eps = 2.0 / _ACCURACY
-    edges = [max(0.0, q - eps) for q in QUARTILES], [min(1.0, q + eps) for q in QUARTILES]
+    n = len(QUARTILES)
+    edges = [q - eps for q in QUARTILES] + [q + eps for q in QUARTILES]
     stats = long.groupBy("column").agg(
-        *_moments("value"),
-        F.percentile_approx("value", list(edges[0]), _ACCURACY).alias("_low"),
-        F.percentile_approx("value", list(edges[1]), _ACCURACY).alias("_high"),
-    )
+        *_moments("value"), F.percentile_approx("value", edges, _ACCURACY).alias("_edges")
+    ).withColumns({"_low": F.slice("_edges", 1, n), "_high": F.slice("_edges", n + 1, n)}).drop("_edges")
     # One row per described column: the broadcast is bounded by the width of the table.
     cells = long.filter(F.col("value").isNotNull()).join(
         F.broadcast(stats.select("column", F.col("count").alias("_n"), "_low", "_high")), "column"

@@ -312,6 +312,12 @@ oracle(
     "macro",
 )
 oracle("d8_error_metrics", f"SELECT series, model, {ERR} FROM metrics", "metrics")
+oracle(
+    "d8_predictions_wide",
+    f"""SELECT series, ds, {r('max(y)')} AS y, {r("max(CASE WHEN model = 'naive' THEN yhat END)")} AS naive,
+{r("max(CASE WHEN model = 'seasonal' THEN yhat END)")} AS seasonal FROM pred GROUP BY 1, 2""",
+    "pred",
+)
 oracle(
     "d9_mase",
     f"SELECT series, model, {r('CASE WHEN naive_step > 0 THEN mae / naive_step ELSE 0 END', 8)} AS mase FROM metrics",

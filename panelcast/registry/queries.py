@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast.config import NowcastBoostConfig, BoostConfig
 from panelcast.functions import dates, scalars
-from panelcast.functions.spec import FeatureSpec, names, of_kind, select_by_kind
+from panelcast.functions.spec import FeatureSpec, names, select_by_kind
 from panelcast.operators import (
     align, boosted, evaluate, explain, forecast, linear, quality, scenarios, shape, structural, windows,
 )
@@ -346,6 +346,11 @@ def d8_error_metrics(spark, sf):
     return rounded(evaluate.error_metrics(yardsticks(spark, sf), KEYS))
 
 
+@query
+def d8_predictions_wide(spark, sf):
+    return rounded(evaluate.predictions_wide(yardsticks(spark, sf), KEYS, ["naive", "seasonal"]))
+
+
 @query
 def d9_mase(spark, sf):
     return rounded(evaluate.mase(yardsticks(spark, sf), KEYS))

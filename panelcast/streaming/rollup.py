@@ -28,6 +28,17 @@ def feed_aggregates(value: str, ts: str) -> list[Column]:
     ]
 
 
+def wall_clock(ts: str) -> Column:
+    """Event time whose UTC reading is the wall clock of the row, to the second.
+
+    Watermarks need a zoned time stamp and day windows start at UTC midnight; this way the day of
+    a zone-free row does not depend on the session's time zone.
+    """
+    t = F.col(ts)
+    days = F.unix_date(t.cast("date")).cast("long")
+    return F.timestamp_seconds(days * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
+
+
 def stream_rollup(
     events: DataFrame,
     keys: Sequence[str],
@@ -38,11 +49,12 @@ def stream_rollup(
 ) -> DataFrame:
     """``(keys..., ds, n, total, mean, std, last)`` per window.  Works on batch and stream frames;
     on a stream the watermark bounds the state."""
-    rows = events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    rows = events.withColumn("_ts", wall_clock(ts))
     if rows.isStreaming:
         rows = rows.withWatermark("_ts", watermark)
-    windows = rows.groupBy(*keys, F.window("_ts", width).alias("_w")).agg(*feed_aggregates(value, "_ts"))
-    return windows.select(*keys, F.col("_w.start").cast("date").alias("ds"), "n", "total", "mean", "std", "last")
+    windows = rows.groupBy(*keys, F.window("_ts", width).alias("_w")).agg(*feed_aggregates(value, ts))
+    day = F.floor(F.unix_seconds(F.col("_w.start")) / F.lit(86400)).cast("int")
+    return windows.select(*keys, F.date_from_unix_date(day).alias("ds"), "n", "total", "mean", "std", "last")
 
 
 def late_rows(events: DataFrame, keys: Sequence[str], cutoff: int, ts: str = "ts") -> DataFrame:
