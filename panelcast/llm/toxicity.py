@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 #: doc_id.  Scoring covers every row.
 SAMPLE_ROWS = 2500
 PREFIX = 4
+#: A feature counts if it is in so many sampled rows and its share among graded rows differs from
+#: that among the others by so many standard errors; most words of a text tell nothing.
 MIN_ROWS = 4
+MIN_ERRORS = 4.0
 TRIM = ".,;:!?\"'()[]{}<>*#$%&|-_"
 
 
@@ -41,8 +44,8 @@ class OrdinalModel:
 
 
 def grade(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
-    """Severity grades of labelled rows: 0 not toxic, 1 toxic, 2 toxic with at least the median
-    share of words that are ten times as common among toxic rows as among the others."""
+    """Severity grades of labelled rows: 0 not toxic, 1 toxic, 2 toxic with more than the
+    median number of words that are ten times as common among toxic rows as among the others."""
     bags = [features(t) for t in texts]
     seen: dict[str, list[int]] = {}
     for bag, hit in zip(bags, toxic):
@@ -50,16 +53,16 @@ def grade(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
             seen.setdefault(f, [0, 0])[int(hit)] += 1
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     marks = {f for f, (a, b) in seen.items() if b >= MIN_ROWS and b / n1 > 10 * (a + 0.5) / n0}
-    share = np.array([len(bag & marks) / max(1, len(bag)) for bag in bags])
-    middle = np.median(share[toxic == 1]) if toxic.any() else 0.0
-    return np.where(toxic == 1, 1 + (share >= middle), 0)
+    number = np.array([len(bag & marks) for bag in bags], dtype=np.int64)
+    middle = np.median(number[toxic == 1]) if toxic.any() else 0.0
+    return np.where(toxic == 1, 1 + (number > middle), 0)
 
 
 def fit(
     texts: list[str | None], grades: np.ndarray, row_weights: np.ndarray | None = None,
-    steps: int = 150, ridge: float = 0.02, rate: float = 0.15,
+    steps: int = 150, ridge: float = 0.3, rate: float = 0.15,
 ) -> OrdinalModel:
-    """Penalised maximum likelihood by Adam; features in fewer than MIN_ROWS rows are left out.
+    """Penalised maximum likelihood by Adam on the features that MIN_ROWS and MIN_ERRORS let in.
 
     Without rows of at least two grades nothing can be told apart: all scores are 0 and every
     severity is nearly 0.
@@ -68,11 +71,21 @@ def fit(
     if levels == 0 or (grades > 0).all():
         return OrdinalModel({}, [50.0])
     bags = [features(t) for t in texts]
-    count: dict[str, int] = {}
-    for bag in bags:
+    count: dict[str, list[int]] = {}
+    for bag, hit in zip(bags, grades > 0):
         for f in bag:
-            count[f] = count.get(f, 0) + 1
-    names = sorted(f for f, n in count.items() if n >= MIN_ROWS)
+            count.setdefault(f, [0, 0])[int(hit)] += 1
+    n1 = int((grades > 0).sum())
+    n0 = len(grades) - n1
+
+    def tells(without: int, with_: int) -> bool:
+        if without + with_ < MIN_ROWS:
+            return False
+        share = (without + with_) / len(grades)
+        error = np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+        return abs(with_ / n1 - without / n0) > min(MIN_ERRORS, 0.2 * np.sqrt(len(grades))) * error
+
+    names = sorted(f for f, c in count.items() if tells(*c))
     place = {f: i for i, f in enumerate(names)}
     pairs = [(r, place[f]) for r, bag in enumerate(bags) for f in bag if f in place]
     at = np.array(pairs, dtype=np.int64).reshape(-1, 2)
