@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelcast.llm.bpe import token_digests
 from panelcast.llm.common import documents
 from panelcast.llm.curriculum import mix
+from panelcast.llm.katz import score_texts
 from panelcast.llm.pii import find_pii
+from panelcast.llm.repeats import remove_repeats
 from panelcast.llm.simhash import near_duplicates
 from panelcast.llm.toxicity import severities
 
@@ -35,6 +37,15 @@ def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -44,10 +55,32 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_curriculum": op7_curriculum,
+    "op8_katz": op8_katz,
+    "op9_repeats": op9_repeats,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_repeats": """
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), windows AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS win
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)
+), first_ids AS (SELECT win, min(doc_id) AS low FROM windows GROUP BY win
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS p
+  FROM windows JOIN first_ids USING (win) WHERE doc_id IS NULL AND low IS NOT NULL OR low < doc_id
+), places AS (
+  SELECT r, p, w[p] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM words)
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM places ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (r)
+""",
     "op7_curriculum": """
 WITH sized AS (
   SELECT source, doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size
