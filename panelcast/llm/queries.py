@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelcast.llm import line_rules, vector_dups
 from panelcast.llm.bpe import token_digests
 from panelcast.llm.common import documents
 from panelcast.llm.curriculum import mix
 from panelcast.llm.katz import score_texts
 from panelcast.llm.pii import find_pii
 from panelcast.llm.repeats import remove_repeats
+from panelcast.llm.shards import ROW_BYTES, shard_by_bytes
 from panelcast.llm.simhash import near_duplicates
 from panelcast.llm.toxicity import severities
 
@@ -20,6 +22,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = shard_by_bytes(documents(spark, sf_dir))
+    return sharded.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
@@ -28,6 +40,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir), vocabulary())
 
 
+def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.quality(documents(spark, sf_dir))
+
+
+def op5_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severities(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -51,8 +71,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_shards": op1_shards,
     "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
+    "op4_line_rules": op4_line_rules,
+    "op5_vector_dups": op5_vector_dups,
     "op6_toxicity": op6_toxicity,
     "op7_curriculum": op7_curriculum,
     "op8_katz": op8_katz,
@@ -61,6 +84,57 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_line_rules": """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM docs
+), windows AS (
+  SELECT r, i, array_to_string(w[i:i + 4], ' ') AS win
+  FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM words)
+), repeated AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM repeated) GROUP BY r
+), lines AS (
+  SELECT r, host, text, l FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS l FROM docs)
+  WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')
+), dups AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r
+), plain AS (
+  SELECT r, host, text, len(w) AS n,
+    translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line
+  FROM (SELECT r, host, text, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') AS w FROM lines)
+), common AS (
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM plain GROUP BY ALL) c
+  JOIN (SELECT host, count(DISTINCT text) AS texts FROM docs GROUP BY host) s USING (host)
+  WHERE n > 20 AND n > texts * 0.02
+), removed AS (SELECT r, sum(n) AS n FROM plain JOIN common USING (host, line) GROUP BY r
+), counted AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(removed.n, 0) AS BIGINT) AS n_removed
+  FROM docs JOIN words USING (r) LEFT JOIN dups USING (r) LEFT JOIN covered USING (r) LEFT JOIN removed USING (r)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_removed * 100 <= n_words * 70 AS kept
+FROM counted
+""",
+    "op5_vector_dups": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links, min(reach.b) AS component_id,
+  v.vec_id = min(reach.b) AS kept
+FROM v JOIN reach ON reach.a = v.vec_id GROUP BY v.vec_id
+""",
     "op9_repeats": """
 WITH words AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
