@@ -44,15 +44,14 @@ def expanding_folds(
 def expand_folds(df: DataFrame, folds: DataFrame, keys: Sequence[str], ds: str = "ds") -> DataFrame:
     """The same from a table of date bounds ``(fold, test_start, test_end)`` (end is open).
 
-    For bounds that live in a table.  It has a row per fold; the size is checked because it is
-    broadcast for the range condition.
+    For bounds that live in a table with a row per fold.  They enter as one array from a scalar
+    subquery, and each row is repeated for the folds it belongs to: no join, no job at plan time.
     """
-    size = folds.limit(1001).count()
-    if size > 1000:
-        raise ValueError("fold table has more than 1000 rows; use expanding_folds")
-    joined = df.join(F.broadcast(folds), F.col(ds) < F.col("test_end"))
-    split = F.when(F.col(ds) < F.col("test_start"), "train").otherwise("test")
-    return joined.withColumn("split", split).drop("test_start", "test_end")
+    bounds = folds.agg(F.collect_list(F.struct("fold", "test_start", "test_end"))).scalar()
+    rows = df.withColumn("_bounds", bounds)
+    rows = rows.withColumn("_f", F.explode(F.filter("_bounds", lambda f: F.col(ds) < f["test_end"])))
+    split = F.when(F.col(ds) < F.col("_f.test_start"), "train").otherwise("test")
+    return rows.withColumns({"fold": F.col("_f.fold"), "split": split}).drop("_bounds", "_f")
 
 
 def fold_report(folds: DataFrame, keys: Sequence[str], ds: str = "ds") -> DataFrame:
@@ -123,9 +122,14 @@ def gain_vs_baseline(metrics: DataFrame, keys: Sequence[str], baseline: str) ->
 
 
 def best_model(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Smallest RMSE per series; equal models are ordered by name."""
-    rank = F.struct("rmse", "model")
-    values = [c for c in metrics.columns if c not in keys]
+    """Smallest RMSE per series; equal models are ordered by name.
+
+    A model without a finite RMSE has failed and never wins; a series on which all have failed stays,
+    with NULL for its model and its figures.
+    """
+    failed = F.col("rmse").isNull() | F.isnan("rmse")
+    rank = F.struct(failed, "rmse", "model")
+    values = [F.when(~failed, F.col(c)).alias(c) for c in metrics.columns if c not in keys]
     return metrics.groupBy(*keys).agg(F.min_by(F.struct(*values), rank).alias("_best")).select(
         *keys, "_best.*"
     )

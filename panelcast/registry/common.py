@@ -42,7 +42,7 @@ def target(spark: SparkSession, sf: str) -> DataFrame:
 def known_target(spark: SparkSession, sf: str) -> DataFrame:
     """Nation panel up to the last full month."""
     panel = td.monthly_wide_panel(spark, sf)
-    return gap_fill(panel.filter(F.col("ds") < F.lit(td.PARTIAL_MONTH).cast("date")), KEYS)
+    return gap_fill(panel.filter(F.col("ds") < td.first_open_month(spark, sf)), KEYS)
 
 
 def macro(spark: SparkSession, sf: str) -> DataFrame:

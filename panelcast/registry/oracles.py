@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from panelcast.registry.common import DRIVERS, SEGMENTS, digits_of
-from panelcast.registry.sqlparts import cte, r, with_ctes
+from panelcast.registry.sqlparts import OPEN_MONTH, cte, r, with_ctes
 
 ORACLES: dict[str, str] = {}
 
@@ -248,8 +248,9 @@ oracle(
     "c5_align_eval",
     """SELECT k.series, k.ds, 'flat' AS model, yhat, y FROM known k JOIN (
   SELECT series, CAST(last + to_months(step) AS DATE) AS ds, yhat FROM
-  (SELECT series, max(ds) AS last, max_by(y, ds) FILTER (WHERE y IS NOT NULL) AS yhat FROM known
-   WHERE known.ds < DATE '2000-08-01' GROUP BY 1),
+  (SELECT series, max(ds) AS last, max_by(y, ds) FILTER (WHERE y IS NOT NULL) AS yhat FROM
+   (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ds DESC) AS back FROM known)
+   WHERE back > 12 GROUP BY 1),
   (SELECT CAST(range AS INTEGER) AS step FROM range(1, 13))) p ON p.series = k.series AND p.ds = k.ds""",
     "known",
 )
@@ -651,7 +652,7 @@ LEFT JOIN daily20 d ON d.series = s.series AND d.ds = s.ds {join}""",
 
 HF = [f"{c}_{s}" for c in ("qty", "rev") for s in ("mean", "std", "last")] + ["idx_mean", "idx_last"]
 aligned("al_full", "mp", HF)
-cte("mp_hidden", "SELECT series, ds, CASE WHEN ds < DATE '2001-08-01' THEN y END AS y FROM mp", "mp")
+cte("mp_hidden", f"SELECT series, ds, CASE WHEN ds < {OPEN_MONTH} THEN y END AS y FROM mp", "mp")
 aligned("al_rev", "mp_hidden", ["rev_mean"])
 aligned("al_qty", "mp", ["qty_mean"])
 MOMS = [c for c in HF if not c.endswith("_std")]

@@ -283,10 +283,10 @@ def c4_cross_params(spark, sf):
 
 @query
 def c5_align_eval(spark, sf):
-    pred = forecast.persistence_forecast(
-        known_target(spark, sf).filter("ds < '2000-08-01'"), KEYS
-    ).withColumn("model", F.lit("flat"))
-    return evaluate.align_eval(known_target(spark, sf), pred, KEYS)
+    known = known_target(spark, sf)
+    train = windows.holdout_split(known, KEYS, 12).filter("split = 'train'").drop("split")
+    pred = forecast.persistence_forecast(train, KEYS).withColumn("model", F.lit("flat"))
+    return evaluate.align_eval(known, pred, KEYS)
 
 
 @query
@@ -572,7 +572,7 @@ def _daily_nowcast(spark, sf, cols, target_df=None):
 def _nowcast(spark, sf, known=False) -> tuple[DataFrame, list[FeatureSpec]]:
     y = td.monthly_target(spark, sf)
     if known:
-        y = td.known_until(y)
+        y = td.known_until(y, td.first_open_month(spark, sf))
     daily, weekly = _indicators(spark, sf)
     rows = align.nowcast_features(
         y, KEYS, "y", daily=(daily, ["qty", "rev"]), weekly=(weekly, ["idx"])
@@ -583,7 +583,7 @@ def _nowcast(spark, sf, known=False) -> tuple[DataFrame, list[FeatureSpec]]:
 @query
 def h2_bridge_fit(spark, sf):
     """One indicator, where the elastic net has a closed form."""
-    rows = _daily_nowcast(spark, sf, ["rev"], td.known_until(td.monthly_target(spark, sf)))
+    rows = _daily_nowcast(spark, sf, ["rev"], td.known_until(td.monthly_target(spark, sf), td.first_open_month(spark, sf)))
     model = linear.bridge_fit(rows, KEYS, "y", ["rev_mean"], 0.5, 0.5)
     return rounded(model.select("series", "n", "intercept", F.col("coef")[0].alias("coef"), "sigma", "status"), intercept=1, sigma=1)
 
@@ -659,7 +659,9 @@ def h6_boosted_nowcast_fit(spark, sf):
 
 
 def _boosted_ar(spark, sf):
-    rows, specs = _ar(spark, sf)
+    panel = td.known_until(td.macro_panel(spark, sf), td.first_open_month(spark, sf))
+    rows = windows.ar_features(calendars.gap_fill(panel, KEYS), KEYS, "y", DRIVERS, SHOCKS)
+    specs = windows.ar_feature_specs("y", DRIVERS, SHOCKS)
     rows = cut_lineage(rows)
     model = boosted.boosted_forecast_fit(rows, KEYS, "y", names(specs), BoostConfig(max_depth=4, n_estimators=ROUNDS))
     return model, rows, specs
@@ -815,7 +817,7 @@ def h19_run_summary(spark, sf):
 def h19_nowcast_run(spark, sf):
     daily, weekly = _indicators(spark, sf)
     result = nowcast_plan.run_nowcast(
-        td.known_until(td.monthly_target(spark, sf)), KEYS, (daily, ["qty", "rev"]),
+        td.known_until(td.monthly_target(spark, sf), td.first_open_month(spark, sf)), KEYS, (daily, ["qty", "rev"]),
         (weekly, ["idx"]), boost=NowcastBoostConfig(n_estimators=ROUNDS),
     )
     return rounded(result.summary)
@@ -823,7 +825,7 @@ def h19_nowcast_run(spark, sf):
 
 @query
 def h19_forecast_run(spark, sf):
-    panel = calendars.gap_fill(td.known_until(td.macro_panel(spark, sf)), KEYS)
+    panel = calendars.gap_fill(td.known_until(td.macro_panel(spark, sf), td.first_open_month(spark, sf)), KEYS)
     result = forecast_plan.run_forecast(
         panel, KEYS, DRIVERS, SHOCKS, boost=BoostConfig(max_depth=4, n_estimators=ROUNDS)
     )

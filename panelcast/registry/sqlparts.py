@@ -123,9 +123,12 @@ SELECT event_type AS series, CAST(ts AS DATE) AS ds, count(*) AS n, sum(value) A
 FROM events GROUP BY 1, 2""",
 )
 filled("target", "np", ["y"])
-cte("np_known", "SELECT * FROM np WHERE ds < DATE '2001-08-01'", "np")
+#: Start of the first month whose orders are not complete.
+OPEN_MONTH = """(SELECT CASE WHEN d = last_day(d) THEN d + 1 ELSE CAST(date_trunc('month', d) AS DATE) END
+FROM (SELECT CAST(max(o_orderdate) AS DATE) AS d FROM orders))"""
+cte("np_known", f"SELECT * FROM np WHERE ds < {OPEN_MONTH}", "np")
 filled("known", "np_known", ["y"])
-cte("mp_known", "SELECT * FROM mp WHERE ds < DATE '2001-08-01'", "mp")
+cte("mp_known", f"SELECT * FROM mp WHERE ds < {OPEN_MONTH}", "mp")
 filled("mknown", "mp_known", ["y"])
 filled("macro", "macro0", ["y", "production", "policy_rate", "unemployment", "fx", "price_index"])
 cte(

@@ -122,10 +122,14 @@ def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The order table of the test data stops inside this month, so its total is not a full month.
-PARTIAL_MONTH = "2001-08-01"
+def first_open_month(spark: SparkSession, sf_dir: str) -> Column:
+    """Start of the first month whose orders are not complete: the month of the last order, or the
+    next one if that order is from the month's last day.  A scalar subquery, no job of its own."""
+    last = table(spark, sf_dir, "orders").agg(F.max(F.col("o_orderdate").cast("date")).alias("d"))
+    after = F.when(F.col("d") == F.last_day("d"), F.date_add("d", 1))
+    return last.select(after.otherwise(F.trunc("d", "month")).alias("d")).scalar()
 
 
-def known_until(df: DataFrame, y: str = "y", until: str = PARTIAL_MONTH, ds: str = "ds") -> DataFrame:
+def known_until(df: DataFrame, until: Column, y: str = "y", ds: str = "ds") -> DataFrame:
     """Hide target values from a month on; the rows stay and are the ones to nowcast."""
-    return df.withColumn(y, F.when(F.col(ds) < F.lit(until).cast("date"), F.col(y)))
+    return df.withColumn(y, F.when(F.col(ds) < until, F.col(y)))

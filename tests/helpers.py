@@ -38,15 +38,22 @@ def noisy_panel(spark, keys=("a", "b"), n=72, seed=7):
     return panel(spark, rows, "k string, ds date, y double, x1 double, x2 double")
 
 
-def mixed_frequency(seed=42):
-    """60 months, 5 years of days and of Sundays, as pandas frames."""
+def mixed_frequency(seed=11):
+    """Sixty months from May 2016: a target that follows a random walk with a yearly wave, a daily load
+    with weekends, holes and a last month that stops on the 19th, and a weekly index around the wave."""
     rng = np.random.default_rng(seed)
-    months = pd.date_range("2020-01-01", "2024-12-01", freq="MS")
-    days = pd.date_range("2020-01-01", "2024-12-31", freq="D")
-    weeks = pd.date_range("2020-01-01", "2024-12-31", freq="W-SUN")
-    target = pd.DataFrame({"ds": months, "y": 100 + 0.5 * np.arange(60) + rng.normal(0, 2, 60)})
-    daily = pd.DataFrame({"ds": days, "load": rng.normal(50, 5, len(days)), "load_ind": rng.normal(100, 10, len(days))})
-    weekly = pd.DataFrame({"ds": weeks, "idx": rng.uniform(20, 80, len(weeks))})
+    first, last = dt.date(2016, 5, 1), dt.date(2021, 4, 19)
+    walk = np.cumsum(rng.gamma(2.0, 0.4, 60) - 0.6)
+    wave = np.sin(np.arange(60) * np.pi / 6)
+    target = pd.DataFrame({"ds": pd.to_datetime([month(i, (2016, 5)) for i in range(60)]), "y": 40 + walk + 3 * wave})
+    days = pd.date_range(first, last)
+    days = days[rng.random(len(days)) > 0.03]
+    at = np.array([(d.year - 2016) * 12 + d.month - 5 for d in days])
+    load = 7 + 0.2 * walk[at] + 1.5 * (days.dayofweek < 5) + rng.laplace(0, 0.3, len(days))
+    daily = pd.DataFrame({"ds": days, "load": load, "load_ind": 2 * load + rng.laplace(0, 0.5, len(days))})
+    weeks = pd.date_range(first, last, freq="W-SUN")
+    at = np.array([(d.year - 2016) * 12 + d.month - 5 for d in weeks])
+    weekly = pd.DataFrame({"ds": weeks, "idx": 30 + 9 * wave[at] + rng.exponential(4, len(weeks))})
     return target, daily, weekly
 
 

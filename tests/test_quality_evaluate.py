@@ -54,6 +54,24 @@ def test_metrics_by_hand(spark):
     assert evaluate.best_model(evaluate.metrics_table(pred, ["k"]), ["k"]).first()["model"] == "good"
 
 
+def test_a_failed_model_never_wins(spark):
+    rows = [("a", "ridge", 2.0), ("a", "bridge", None), ("a", "tree", float("nan")), ("b", "bridge", None)]
+    metrics = spark.createDataFrame(rows, "k string, model string, rmse double")
+    best = {r["k"]: (r["model"], r["rmse"]) for r in evaluate.best_model(metrics, ["k"]).collect()}
+    assert best == {"a": ("ridge", 2.0), "b": (None, None)}
+
+
+def test_folds_from_a_table_need_no_join(spark):
+    df = panel(spark, [("a", month(i), float(i)) for i in range(6)])
+    folds = spark.createDataFrame(
+        [(1, month(2), month(4)), (2, month(4), month(6))], "fold int, test_start date, test_end date"
+    )
+    out = evaluate.expand_folds(df, folds, ["k"])
+    got = {(r["fold"], r["split"]): r["count"] for r in out.groupBy("fold", "split").count().collect()}
+    assert got == {(1, "train"): 2, (1, "test"): 2, (2, "train"): 4, (2, "test"): 2}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ties_and_constant_series(spark):
     rows = [("a", month(i), m, 5.0, 6.0) for m in ("zeta", "alpha") for i in range(3)]
     pred = panel(spark, rows, "k string, ds date, model string, y double, yhat double")

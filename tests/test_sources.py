@@ -92,3 +92,12 @@ def test_time_slice_reaches_the_scan(spark, tmp_path):
     assert df.count() == 2
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ds" in plan
+
+
+def test_open_month_follows_the_orders(spark, tmp_path):
+    from panelcast.sources import testdata as td
+
+    for name, last, want in (("mid", "2003-05-09", "2003-05-01"), ("end", "2003-05-31", "2003-06-01")):
+        spark.sql(f"SELECT timestamp'{last} 00:00:00' AS o_orderdate").write.parquet(str(tmp_path / name / "orders.parquet"))
+        bound = td.first_open_month(spark, str(tmp_path / name))
+        assert str(spark.range(1).select(bound.alias("d")).first()["d"]) == want
