@@ -163,8 +163,9 @@ def split(sorted_hashes: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def dealt(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Chunk states and packets of all documents, each dealt by its key: one shuffle, which the
-    later steps of the same plan use again."""
+    """Chunk states and packets of all documents, each dealt by its key.  Spark filters before it
+    shuffles, so states and each kind of packets are shuffled once; the states' shuffle is used again
+    by the later steps of the same plan."""
     source = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     return spread(source.mapInArrow(make, ROW), "key")
 
