@@ -14,8 +14,8 @@ from panelcast.llm.graph import components
 
 COSINE = 0.95
 PROJECTIONS = 24
-#: Half widths of windows in standard deviations of a boundary pair's difference: of the two sorted
-#: projections that decide which slabs meet, and of all those that are counted.
+#: Half widths of windows in standard deviations of a boundary pair's difference: of the sorted
+#: projections (two decide which slabs meet, a third which rows), and of all those that are counted.
 LEAD_SPREAD = 3.3
 WINDOW_SPREAD = 1.5
 #: Share of boundary pairs that the required count may miss.
@@ -160,16 +160,22 @@ def linked(classes: DataFrame, cosine: float = COSINE, slab_rows: int = SLAB) ->
         x, raw, sizes = unit(group.column("embedding").to_pylist())
         p = (x @ directions(x.shape[1])).astype(np.float32)
         norm = np.sqrt((raw * raw).sum(1))
-        left, right = np.nonzero(slab == low)[0], np.nonzero(slab == high)[0]
+        # Both sides stand in the order of a third projection: a block of queries only meets the rows
+        # in the window around it.
+        by = np.argsort(p[:, 2], kind="stable")
+        left, all_right = by[slab[by] == low], by[slab[by] == high]
+        along = p[all_right, 2]
         links, pairs = np.zeros(len(ids), dtype=np.int64), []
         for at in range(0, len(left), 256):
             rows = left[at : at + 256]
+            first, last = p[rows[0], 2] - lead - 1e-5, p[rows[-1], 2] + lead + 1e-5
+            right = all_right[np.searchsorted(along, first) : np.searchsorted(along, last, side="right")]
             hits = np.zeros((len(rows), len(right)), dtype=np.uint8)
             for j in range(p.shape[1]):
                 hits += np.abs(p[rows, j][:, None] - p[right, j][None, :]) <= half + 1e-5
             a, b = np.nonzero(hits >= need)
             a, b = rows[a], right[b]
-            keep = (a < b if low == high else a >= 0) & (sizes[a] == sizes[b])
+            keep = (a < b if low == high else a >= 0) & (sizes[a] == sizes[b])  # each pair once
             a, b = a[keep], b[keep]
             for k in range(0, len(a), 1 << 16):
                 i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
