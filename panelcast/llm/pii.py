@@ -261,11 +261,15 @@ def labelled_chains(text: str, longest: int = 64):
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ShapeField | None:
     """Fit on the bounded labelled table in one task: the table's states are the kinds of the base
     spans that a word overlaps.  None if no text has a word with a digit, @ or +."""
-    table = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .filter(F.col("text").rlike("[0-9@]"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_rows)
-    )
+    # The sample is chosen by narrow rows; texts are read for the chosen ones alone.
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text"
+    ).filter(F.col("text").rlike("[0-9@]"))
+    first = rows.select(
+        F.coalesce("doc_id", F.lit(0)).alias("at"), F.col("body").alias("at_body")
+    ).orderBy(F.xxhash64("at"), "at", "at_body").limit(sample_rows).distinct()
+    same = (F.coalesce(F.col("doc_id"), F.lit(0)) == F.col("at")) & (F.col("body") == F.col("at_body"))
+    table = rows.join(F.broadcast(first), same).dropDuplicates(["at", "at_body"])
 
     def run(part: pa.Table) -> pa.Table:
         rows = [r for t in part.column("text").to_pylist() for r in labelled_chains(t)]
