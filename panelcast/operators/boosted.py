@@ -64,7 +64,8 @@ def boosted_fit(
     xs: Sequence[str],
     config: BoostConfig = BoostConfig(),
 ) -> BoostedModel:
-    """Fit on complete rows.  The design is written once, since every boosting round reads it."""
+    """Fit on complete rows.  Rows and scaled design are written once: the rows are read for scales and
+    residuals, and the design by every boosting round."""
     rows = cut_lineage(drop_incomplete(df.select(*keys, *doubles(df, [y, *xs])), [y, *xs]))
 
     def deviation(c: str) -> Column:
@@ -79,10 +80,10 @@ def boosted_fit(
     )
     scaled = attach(rows, scales, keys, ["_ym", "_ys", "_xm", "_xs"])
     z = [_scale(F.col(x), F.col("_xm")[i], F.col("_xs")[i]) for i, x in enumerate(xs)]
-    design = scaled.select(
+    design = cut_lineage(scaled.select(
         _scale(F.col(y), F.col("_ym"), F.col("_ys")).alias("_target"),
         array_to_vector(F.array(*z)).alias("_z"),
-    )
+    ))
     trees = GBTRegressor(
         featuresCol="_z", labelCol="_target", predictionCol="_pred",
         maxDepth=config.max_depth, stepSize=config.learning_rate, maxIter=config.n_estimators,

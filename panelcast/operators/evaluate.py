@@ -14,6 +14,8 @@ from panelcast.operators.windows import from_end, naive_diff
 
 # Fixed value: machine epsilon, the floor of the denominator in the percentage error.
 EPS = 2.220446049250313e-16
+# Parts of a group that are joined apart.
+SALTS = 64
 
 
 def expanding_folds(
@@ -150,11 +152,17 @@ def fold_summary(metrics: DataFrame, keys: Sequence[str], names: Sequence[str] =
 def residual_histogram(
     df: DataFrame, keys: Sequence[str], col: str = "residual", bins: int = 30
 ) -> DataFrame:
-    """Equal-width counts per group.  The range comes from a partial aggregate and is joined back,
-    so a group of any size is never sorted or held by one task."""
+    """Equal-width counts per group.  The range comes from a partial aggregate and is joined back
+    in ``SALTS`` copies, so a group of any size is never sorted or held by one task."""
     rows = df.select(*keys, F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
     extent = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    rows = attach(rows, extent, keys, ["_low", "_high"])
+    if keys:
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+        copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        extent = extent.withColumn("_salt", copies)
+        rows = attach(rows, extent, [*keys, "_salt"], ["_low", "_high"])
+    else:
+        rows = attach(rows, extent, keys, ["_low", "_high"])
     width = (F.col("_high") - F.col("_low")) / bins
     at = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_low"), width)), F.lit(0))
     bin_no = F.least(at, F.lit(bins - 1)).cast("int")

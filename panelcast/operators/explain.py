@@ -48,12 +48,12 @@ class _Leaf:
 def _leaves(nodes: pd.DataFrame, weights: Sequence[float]) -> tuple[list[_Leaf], float]:
     out, base = [], 0.0
     for tree, table in nodes.groupby("treeID"):
-        at = table.set_index("id")
+        at = {node.id: node for node in table.itertuples()}
         weight = weights[tree]
         stack = [(0, {})]
         while stack:
             node_id, path = stack.pop()
-            node = at.loc[node_id]
+            node = at[node_id]
             if node.leftChild < 0:
                 feats = list(path)
                 low, high, share = (np.array([path[f][i] for f in feats]) for i in range(3))
@@ -66,7 +66,7 @@ def _leaves(nodes: pd.DataFrame, weights: Sequence[float]) -> tuple[list[_Leaf],
                 (int(node.leftChild), low, min(high, cut)),
                 (int(node.rightChild), max(low, cut), high),
             ):
-                kept = at.loc[child, "cover"] / node.cover
+                kept = at[child].cover / node.cover
                 stack.append((child, {**path, f: (lo, hi, share * kept)}))
     return out, base
 
@@ -75,32 +75,54 @@ def _subset_weights(d: int) -> np.ndarray:
     return np.array([factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)])
 
 
-def shapley_values(x: np.ndarray, leaves: list[_Leaf]) -> np.ndarray:
+def _pattern_tables(leaves: list[_Leaf], d: int) -> np.ndarray:
+    """(leaf, feature, pattern): a leaf's share of the attribution for each set of features known to
+    lie inside their intervals, a pattern being that set's bits."""
+    known = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)
+    share = np.stack([leaf.share for leaf in leaves])
+    value = np.array([leaf.value for leaf in leaves])
+    by_size = _subset_weights(d)
+    out = np.empty((len(leaves), d, 1 << d))
+    for i in range(d):
+        poly = np.ones((len(leaves), 1 << d, 1))
+        for j in range(d):
+            if j == i:
+                continue
+            grown = np.zeros((*poly.shape[:2], poly.shape[2] + 1))
+            grown[..., :-1] += poly * share[:, j, None, None]
+            grown[..., 1:] += poly * known[None, :, j, None]
+            poly = grown
+        out[:, i] = value[:, None] * (known[None, :, i] - share[:, [i]]) * (poly @ by_size)
+    return out
+
+
+def shapley_values(x: np.ndarray, leaves: list[_Leaf], cells: int = 1 << 20) -> np.ndarray:
     """Shapley values of many rows at once.
 
     For a leaf with d distinct features on its path, the coalition game is a product of one factor
     per feature: 1 or 0 when the feature is known (row inside the interval or not), the kept share
-    when it is not.  The sum over coalitions by size is the product polynomial of the others.
+    when it is not.  The sum over coalitions by size is the product polynomial of the others.  It
+    depends on a row only through the d inside-or-not bits, so it is tabulated for the 2**d
+    patterns, leaves of equal d together and at most ``cells`` patterns at a time, and looked up.
     """
-    phi = np.zeros(x.shape)
+    columns = np.ascontiguousarray(x.T)
+    phi = np.zeros(columns.shape)
+    by_depth: dict[int, list[_Leaf]] = {}
     for leaf in leaves:
-        d = len(leaf.features)
-        if not d:
-            continue
-        part = x[:, leaf.features]
-        known = ((part > leaf.low) & (part <= leaf.high)).astype(float)
-        by_size = _subset_weights(d)
-        for i, f in enumerate(leaf.features):
-            poly = np.ones((len(x), 1))
-            for j in range(d):
-                if j == i:
-                    continue
-                grown = np.zeros((len(x), poly.shape[1] + 1))
-                grown[:, :-1] += poly * leaf.share[j]
-                grown[:, 1:] += poly * known[:, [j]]
-                poly = grown
-            phi[:, f] += leaf.value * (known[:, i] - leaf.share[i]) * (poly @ by_size)
-    return phi
+        by_depth.setdefault(len(leaf.features), []).append(leaf)
+    by_depth.pop(0, None)
+    for d, group in by_depth.items():
+        step = max(1, cells >> d)
+        for at in range(0, len(group), step):
+            part = group[at : at + step]
+            for leaf, table in zip(part, _pattern_tables(part, d)):
+                code = np.zeros(len(x), dtype=np.int32)
+                for i, f in enumerate(leaf.features):
+                    inside = (columns[f] > leaf.low[i]) & (columns[f] <= leaf.high[i])
+                    code |= inside.astype(np.int32) << i
+                for i, f in enumerate(leaf.features):
+                    phi[f] += table[i].take(code)
+    return phi.T
 
 
 def tree_contributions(

@@ -20,9 +20,6 @@ from panelcast.operators.shape import attach, doubles, drop_incomplete
 from panelcast.operators.windows import lags, whole
 from panelcast.session import cut_lineage
 
-# Small designs are reduced to covariances inside the JVM, with map-side combine.  Wider ones would
-# need p*p/2 aggregates, and handing the rows of a series to numpy as one flat array is faster.
-MAX_AGGREGATED_FEATURES = 6
 MAX_SWEEPS = 5000
 TOLERANCE = 1e-12
 
@@ -50,55 +47,23 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def _moment_fields() -> list[T.StructField]:
-    doubles = T.ArrayType(T.DoubleType())
-    return [
-        T.StructField("n", T.LongType()),
-        T.StructField("y_mean", T.DoubleType()),
-        T.StructField("y_var", T.DoubleType()),
-        T.StructField("x_mean", doubles),
-        T.StructField("cov", doubles),
-        T.StructField("cov_xy", doubles),
-    ]
-
-
 def moments(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
-    """Per series: count, means, and population covariances of complete rows."""
+    """Per series: count, means, and population covariances of complete rows.
+
+    Designs of any width take this path.  The partial states are p*p/2 covariances however long a
+    series is, and Spark merges them before and after the one shuffle.
+    """
     p = len(xs)
     rows = drop_incomplete(df.select(*keys, *doubles(df, [y, *xs])), [y, *xs])
     pairs = _pairs(p)
-    if p <= MAX_AGGREGATED_FEATURES:
-        return rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg(y).alias("y_mean"),
-            F.var_pop(y).alias("y_var"),
-            F.array(*[F.avg(x) for x in xs]).alias("x_mean"),
-            F.array(*[F.covar_pop(xs[i], xs[j]) for i, j in pairs]).alias("cov"),
-            F.array(*[F.covar_pop(x, y) for x in xs]).alias("cov_xy"),
-        )
-    key_names = list(keys)
-
-    def batch_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[[*key_names, "n"]].copy()
-            found = {"y_mean": [], "y_var": [], "x_mean": [], "cov": [], "cov_xy": []}
-            for flat in batch["_flat"]:
-                rows = flat.reshape(-1, p + 1)
-                mean = rows.mean(0)
-                cov = (rows - mean).T @ (rows - mean) / len(rows)
-                found["y_mean"].append(mean[0])
-                found["y_var"].append(cov[0, 0])
-                found["x_mean"].append(mean[1:])
-                found["cov"].append(np.array([cov[i + 1, j + 1] for i, j in pairs]))
-                found["cov_xy"].append(cov[0, 1:])
-            yield out.assign(**found)
-
-    # The rows of one series, bounded by its calendar, as one flat array; their order is free.
-    series = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.flatten(F.collect_list(F.array(y, *xs))).alias("_flat")
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(y).alias("y_mean"),
+        F.var_pop(y).alias("y_var"),
+        F.array(*[F.avg(x) for x in xs]).alias("x_mean"),
+        F.array(*[F.covar_pop(xs[i], xs[j]) for i, j in pairs]).alias("cov"),
+        F.array(*[F.covar_pop(x, y) for x in xs]).alias("cov_xy"),
     )
-    schema = T.StructType([df.schema[k] for k in keys] + _moment_fields())
-    return series.mapInPandas(batch_moments, schema)
 
 
 def solve_penalized(

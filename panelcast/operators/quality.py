@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 QUARTILES = (0.25, 0.5, 0.75)
 _ACCURACY = 10_000
-_SMALL = 10_000
 
 
 def _missing(df: DataFrame, col: str) -> Column:
@@ -65,7 +64,9 @@ def _whole_table_quartiles(long: DataFrame) -> DataFrame:
 
     A mergeable sketch brackets each quartile (its rank error is at most n / accuracy).  Values
     inside a bracket are counted one by one, all others only as one cell per gap between brackets,
-    so the ranks come from a table of about 6 / accuracy of the rows, built by map-side combine.
+    with its ends, so the ranks come from a table of about 6 / accuracy of the rows, built by
+    map-side combine.  A rank deeper inside a gap than its ends would be a missed bracket and
+    raises an error.
     """
     eps = 2.0 / _ACCURACY
     n = len(QUARTILES)
@@ -80,7 +81,6 @@ def _whole_table_quartiles(long: DataFrame) -> DataFrame:
     inside = reduce(
         lambda a, b: a | b,
         [F.col("value").between(F.col("_low")[i], F.col("_high")[i]) for i in range(len(QUARTILES))],
-        F.col("_n") <= _SMALL,
     )
     gap_end = F.coalesce(
         *[F.when(F.col("value") < F.col("_low")[i], F.col("_low")[i]) for i in range(len(QUARTILES))],
@@ -90,13 +90,21 @@ def _whole_table_quartiles(long: DataFrame) -> DataFrame:
         "column",
         F.when(inside, F.col("value")).otherwise(gap_end).alias("_at"),
         inside.alias("_exact"),
-    ).agg(F.count(F.lit(1)).alias("_rows"), F.max("_n").alias("_n"))
+    ).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max("_n").alias("_n"),
+        F.min("value").alias("_first"), F.max("value").alias("_last"),
+    )
     order = Window.partitionBy("column").orderBy("_at", "_exact")
     upto = F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_rows"))
 
     def at_rank(rank: Column) -> Column:
-        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), F.col("_at")))
+        value = (
+            F.when(F.col("_exact") | (rank == F.col("_from")), F.col("_first"))
+            .when(rank == F.col("_upto") - 1, F.col("_last"))
+            .otherwise(F.raise_error(F.lit("a quartile lies outside its bracket")).cast("double"))
+        )
+        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), value))
 
     exprs = []
     for q in QUARTILES:

@@ -53,11 +53,22 @@ def join_target(
     return assemble_wide([target, high_freq], keys, ds)
 
 
+def series_names(df: DataFrame, key: str, most: int = 1000) -> list[str]:
+    """The names of all series, sorted, for columns of a wide table; more than ``most`` are an error."""
+    rows = df.select(key).filter(F.col(key).isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{key} has more than {most} values; keep the table long")
+    return sorted(r[0] for r in rows)
+
+
 def pivot_series(
     df: DataFrame, key: str, value: str, names: Sequence[str], index: Sequence[str] = ("ds",)
 ) -> DataFrame:
-    """One column per listed series.  The list is explicit: no extra pass to discover it."""
-    wide = df.groupBy(*index).agg(
+    """One column per listed series; ``series_names`` finds the list.  A row of a series that is not
+    listed is an error when the table is computed, so that no series can disappear."""
+    listed = F.col(key).isin(list(names)) | F.col(key).isNull()
+    unlisted = F.raise_error(F.concat(F.lit(f"{key} not listed: "), F.col(key).cast("string")))
+    wide = df.withColumn(key, F.when(listed, F.col(key)).otherwise(unlisted.cast("string"))).groupBy(*index).agg(
         *[F.max(F.when(F.col(key) == n, F.col(value))).alias(n) for n in names]
     )
     return wide
@@ -116,7 +127,9 @@ def order_by_time(df: DataFrame, keys: Sequence[str], ds: str = "ds") -> DataFra
 
 
 def attach(df: DataFrame, per_series: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Add columns of a one-row-per-series table; without keys its only row becomes scalars."""
+    """Add columns of a one-row-per-series table; without keys its only row becomes one scalar, so the
+    table is computed once whatever the number of columns."""
     if keys:
         return df.join(per_series.select(*keys, *cols), list(keys), "left")
-    return df.withColumns({c: per_series.select(c).scalar() for c in cols})
+    row = per_series.select(F.struct(*cols)).scalar()
+    return df.withColumn("_row", row).withColumns({c: F.col("_row")[c] for c in cols}).drop("_row")

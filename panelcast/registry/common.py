@@ -9,7 +9,6 @@ from panelcast.sources import testdata as td
 from panelcast.sources.calendars import gap_fill
 
 KEYS = td.SERIES
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 DRIVERS = ["production", "policy_rate", "unemployment", "fx", "price_index"]
 SHOCKS = ["policy_rate", "fx"]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelcast.registry.common import DRIVERS, SEGMENTS, digits_of
+from panelcast.registry.common import DRIVERS, digits_of
 from panelcast.registry.sqlparts import OPEN_MONTH, cte, r, with_ctes
 
 ORACLES: dict[str, str] = {}
@@ -80,8 +80,7 @@ oracle(
 )
 oracle(
     "a8_pivot_series",
-    "SELECT ds, " + ", ".join(f"max(CASE WHEN series = '{s}' THEN y END) AS \"{s}\"" for s in SEGMENTS)
-    + " FROM mp GROUP BY ds",
+    "SELECT * FROM (PIVOT (FROM mp WHERE series IS NOT NULL) ON series USING max(y) GROUP BY ds)",
     "mp",
 )
 oracle(
@@ -126,10 +125,11 @@ count(*) - count(*) FILTER (WHERE {COMPLETE4}) AS n_dropped FROM lagged4 GROUP B
 )
 oracle("b6_cutoff_filter", "SELECT * FROM dp WHERE day(ds) <= 20", "dp")
 oracle("b7_month_floor", f"SELECT {MONTH.format('l_shipdate')} AS ds, count(*) AS n FROM lineitem GROUP BY 1")
-PIV = ", ".join(f"max(CASE WHEN series = '{s}' THEN qty END) AS \"{s}\"" for s in SEGMENTS)
 oracle(
     "b8_row_total",
-    f"SELECT *, round({' + '.join(f'coalesce({s}, 0.0)' for s in SEGMENTS)}, 2) AS total FROM (SELECT ds, {PIV} FROM dp GROUP BY ds)",
+    """SELECT w.*, round(t.total, 2) AS total
+FROM (PIVOT (FROM (SELECT series, ds, qty FROM dp) WHERE series IS NOT NULL) ON series USING max(qty) GROUP BY ds) w
+JOIN (SELECT ds, coalesce(sum(qty), 0.0) AS total FROM dp WHERE series IS NOT NULL GROUP BY ds) t USING (ds)""",
     "dp",
 )
 oracle(

@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.config import NowcastBoostConfig, BoostConfig
 from panelcast.functions import dates, scalars
 from panelcast.functions.spec import FeatureSpec, names, select_by_kind
 from panelcast.operators import (
@@ -15,7 +14,7 @@ from panelcast.operators import (
 )
 from panelcast.plans import forecast as forecast_plan, nowcast as nowcast_plan
 from panelcast.registry.common import (
-    DRIVERS, KEYS, SEGMENTS, SHOCKS, known_target, macro, rounded, target, yardsticks,
+    DRIVERS, KEYS, SHOCKS, known_target, macro, rounded, target, yardsticks,
 )
 from panelcast.session import cut_lineage, shared_dir
 from panelcast.sources import calendars, io, testdata as td
@@ -110,7 +109,8 @@ def a7_assemble_wide(spark, sf):
 
 @query
 def a8_pivot_series(spark, sf):
-    return shape.pivot_series(td.monthly_target(spark, sf), "series", "y", SEGMENTS)
+    panel = td.monthly_target(spark, sf)
+    return shape.pivot_series(panel, "series", "y", shape.series_names(panel, "series"))
 
 
 @query
@@ -181,8 +181,9 @@ def b7_month_floor(spark, sf):
 
 @query
 def b8_row_total(spark, sf):
-    wide = shape.pivot_series(td.daily_indicator(spark, sf), "series", "qty", SEGMENTS)
-    return scalars.row_total(wide, SEGMENTS)
+    daily = cut_lineage(td.daily_indicator(spark, sf).select("series", "ds", "qty"))
+    segments = shape.series_names(daily, "series")
+    return scalars.row_total(shape.pivot_series(daily, "series", "qty", segments), segments)
 
 
 @query
@@ -398,7 +399,7 @@ def d15_residual_histogram(spark, sf):
 
 @query
 def d16_split_counts(spark, sf):
-    return boosted.split_counts(_boosted_ar(spark, sf)[0])
+    return boosted.split_counts(_shared_boosted_ar(spark, sf)[0])
 
 
 # ---- windows -------------------------------------------------------------------------------
@@ -645,16 +646,12 @@ def h5_predict_with_interval(spark, sf):
     return rounded(scored.select("series", "ds", "yhat", "lower", "upper"), yhat=2, lower=2, upper=2)
 
 
-# Boosting rounds of the registered queries; the package defaults are 150 and 200.
-ROUNDS = 20
-
-
 @query
 def h6_boosted_nowcast_fit(spark, sf):
     rows, specs = _nowcast(spark, sf, known=True)
     xs = names(specs)
     known = windows.impute_edges(rows.filter("y is not null"), KEYS, xs, split=None)
-    model = boosted.boosted_nowcast_fit(known, KEYS, "y", xs, NowcastBoostConfig(n_estimators=ROUNDS))
+    model = boosted.boosted_nowcast_fit(known, KEYS, "y", xs)
     return rounded(model.predict_with_interval(known).select("series", "ds", "y", "yhat", "lower", "upper"), yhat=2, lower=2, upper=2)
 
 
@@ -663,10 +660,21 @@ def _boosted_ar(spark, sf):
     rows = windows.ar_features(calendars.gap_fill(panel, KEYS), KEYS, "y", DRIVERS, SHOCKS)
     specs = windows.ar_feature_specs("y", DRIVERS, SHOCKS)
     rows = cut_lineage(rows)
-    model = boosted.boosted_forecast_fit(rows, KEYS, "y", names(specs), BoostConfig(max_depth=4, n_estimators=ROUNDS))
+    model = boosted.boosted_forecast_fit(rows, KEYS, "y", names(specs))
     return model, rows, specs
 
 
+FITTED: dict[tuple[str, str], tuple] = {}
+
+
+def _shared_boosted_ar(spark, sf):
+    """The fit of ``h7_boosted_forecast_fit``, made once a session for the queries that look into it."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in FITTED:
+        FITTED[at] = _boosted_ar(spark, sf)
+    return FITTED[at]
+
+
 @query
 def h7_boosted_forecast_fit(spark, sf):
     model, rows, _ = _boosted_ar(spark, sf)
@@ -691,7 +699,7 @@ def h8_recursive_ridge(spark, sf):
 
 @query
 def h8_recursive_boosted(spark, sf):
-    model, rows, specs = _boosted_ar(spark, sf)
+    model, rows, specs = _shared_boosted_ar(spark, sf)
     return rounded(boosted.recursive_forecast_boosted(model, rows, specs), yhat=2)
 
 
@@ -749,19 +757,19 @@ def h12_contributions(spark, sf):
 
 @query
 def h12_tree_contributions(spark, sf):
-    model, rows, _ = _boosted_ar(spark, sf)
+    model, rows, _ = _shared_boosted_ar(spark, sf)
     return rounded(explain.tree_contributions(model, rows)[0], phi=2)
 
 
 @query
 def h13_gain_importance(spark, sf):
-    return rounded(boosted.gain_importance(_boosted_ar(spark, sf)[0]))
+    return rounded(boosted.gain_importance(_shared_boosted_ar(spark, sf)[0]))
 
 
 @query
 def h14_nowcast_backtest(spark, sf):
     rows, specs = _nowcast(spark, sf, known=True)
-    out = nowcast_plan.nowcast_backtest(rows, KEYS, specs, boost=NowcastBoostConfig(n_estimators=ROUNDS))
+    out = nowcast_plan.nowcast_backtest(rows, KEYS, specs)
     return rounded(out.metrics)
 
 
@@ -818,7 +826,7 @@ def h19_nowcast_run(spark, sf):
     daily, weekly = _indicators(spark, sf)
     result = nowcast_plan.run_nowcast(
         td.known_until(td.monthly_target(spark, sf), td.first_open_month(spark, sf)), KEYS, (daily, ["qty", "rev"]),
-        (weekly, ["idx"]), boost=NowcastBoostConfig(n_estimators=ROUNDS),
+        (weekly, ["idx"]),
     )
     return rounded(result.summary)
 
@@ -826,9 +834,7 @@ def h19_nowcast_run(spark, sf):
 @query
 def h19_forecast_run(spark, sf):
     panel = calendars.gap_fill(td.known_until(td.macro_panel(spark, sf), td.first_open_month(spark, sf)), KEYS)
-    result = forecast_plan.run_forecast(
-        panel, KEYS, DRIVERS, SHOCKS, boost=BoostConfig(max_depth=4, n_estimators=ROUNDS)
-    )
+    result = forecast_plan.run_forecast(panel, KEYS, DRIVERS, SHOCKS)
     return rounded(result.summary.withColumn("top_features", F.array_join("top_features", ",")))
 
 

@@ -111,6 +111,15 @@ def test_vintages_are_nested(spark):
         assert np.allclose(one["load_mean"], part["load_mean"]) and np.allclose(one["load_last"], part["load_last"])
 
 
+def test_no_series_disappears_from_a_wide_table(spark):
+    df = panel(spark, [("a", month(0), 1.0), ("z", month(0), 2.0), ("b", month(1), 3.0)])
+    assert shape.series_names(df, "k") == ["a", "b", "z"]
+    with pytest.raises(ValueError):
+        shape.series_names(df, "k", most=2)
+    with pytest.raises(Exception, match="not listed: z"):
+        shape.pivot_series(df, "k", "y", ["a", "b"]).collect()
+
+
 def test_pivot_melt_and_split(spark):
     df = panel(spark, [("a", month(0), 1.0), ("b", month(0), 2.0), ("a", month(1), 3.0)])
     wide = shape.pivot_series(df, "k", "y", ["a", "b", "c"])
