@@ -27,7 +27,9 @@ def read_panel(
     """Landed file -> ``(keys..., ds, values...)`` with settled types.
 
     Columnar files carry their own types, so the wanted columns are selected and cast.  Text files
-    are read with an explicit schema: no inference pass over the data.
+    are read with an explicit schema: no inference pass over the data.  CSV files of one folder must
+    agree in their header, else reading fails.  NaN, which some writers use for a missing value,
+    becomes NULL.
     """
     reader = spark.read.options(**options)
     if fmt in ("csv", "json"):
@@ -36,7 +38,9 @@ def read_panel(
             header = reader.option("header", True).csv(path).columns
             wanted = {f.name: f for f in panel_schema(keys, values, ds)}
             fields = [wanted.get(c, T.StructField(c, T.StringType())) for c in header]
-            raw = reader.schema(T.StructType(fields)).option("header", True).csv(path)
+            # Without enforceSchema=false, files with other column orders would be read by position.
+            reader = reader.option("header", True).option("enforceSchema", False)
+            raw = reader.schema(T.StructType(fields)).csv(path)
         else:
             raw = reader.schema(panel_schema(keys, values, ds)).json(path)
     else:
@@ -44,7 +48,7 @@ def read_panel(
     return raw.select(
         *[F.col(k).cast("string").alias(k) for k in keys],
         F.col(ds).cast("date").alias("ds"),
-        *[F.col(v).cast("double").alias(v) for v in values],
+        *[F.nullif(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in values],
     )
 
 
