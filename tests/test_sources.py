@@ -101,3 +101,15 @@ def test_open_month_follows_the_orders(spark, tmp_path):
         spark.sql(f"SELECT timestamp'{last} 00:00:00' AS o_orderdate").write.parquet(str(tmp_path / name / "orders.parquet"))
         bound = td.first_open_month(spark, str(tmp_path / name))
         assert str(spark.range(1).select(bound.alias("d")).first()["d"]) == want
+
+
+def test_reader_turns_nan_to_null_and_rejects_other_headers(spark, tmp_path):
+    df = panel(spark, [("a", month(0), float("nan")), ("a", month(1), 2.0)])
+    df.write.parquet(str(tmp_path / "p"))
+    out = pandas_of(io.read_panel(spark, str(tmp_path / "p"), ["k"], "ds", ["y"]).filter("y is null"))
+    assert out["ds"].tolist() == [month(0)]
+    for name, head in (("1.csv", "k,ds,y,z\na,2020-01-01,1,2\n"), ("2.csv", "k,ds,z,y\na,2020-02-01,2,1\n")):
+        (tmp_path / "c").mkdir(exist_ok=True)
+        (tmp_path / "c" / name).write_text(head)
+    with pytest.raises(Exception, match="header"):
+        io.read_panel(spark, str(tmp_path / "c"), ["k"], "ds", ["y", "z"], "csv").collect()
