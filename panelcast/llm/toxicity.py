@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit on a bounded, hash-ordered sample of the labelled rows, in one task.
 
     Rows with a null id or label are left out; an id labelled twice counts as toxic if any label
-    says so.  Row weights restore the sides' shares among all labelled rows.
+    says so, an id with several texts counts once, with the smallest.  Row weights restore the sides' shares among all labelled rows.
     """
     known = (
         labels.filter("doc_id is not null and toxic is not null")
@@ -134,6 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     chosen = [known.filter(F.col("toxic") == side).orderBy(*order).limit(sample_rows) for side in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample_rows ids
     rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(ids, "label_id")
+    # Rows repeated under one id give one, so the task's input stays bounded.
+    rows = rows.groupBy("label_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(table: pa.Table) -> pa.Table:
         texts = table.column("text").to_pylist()
