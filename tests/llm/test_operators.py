@@ -182,6 +182,23 @@ def test_targets_fill_by_weight_under_their_caps(spark):
     assert out["a"]["target"] == 30.0
 
 
+def test_training_rows_repeat_whole_rows(spark):
+    docs = make(spark, [(1, "one two three", "a"), (2, None, "a"), (3, "four five " * 20, "b"), (4, "six", "b")])
+    used = curriculum.training_rows(docs)
+    assert used.columns == docs.columns and {(r["size"], r["passes"]) for r in used.collect()} == {("y", 1)}
+    counts = {r["doc_id"]: r["count"] for r in used.groupBy("doc_id").count().collect()}
+    # Targets: 15 words of a and 29 of b by weight, a stops at 3 times its 3 words; b gets 35 of 41.
+    assert counts[1] == 3 and 2 not in counts
+
+
+def test_sample_takes_an_id_once(spark):
+    rows = [(1, "vile slur words here", "a")] * 500 + [(i, f"plain talk number {i}", "a") for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 40)], "doc_id long, toxic int")
+    model = toxicity.train(make(spark, rows), labels)
+    # One toxic row is below the least number of rows that a feature needs; 500 would not be.
+    assert "vile" not in model.weights
+
+
 def test_training_times_invert_the_schedule(spark):
     for kind, (a, b, c) in enumerate(curriculum.SCHEDULES):
         df = spark.range(11).select((F.col("id") / 10).alias("u"))
