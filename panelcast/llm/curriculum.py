@@ -121,6 +121,21 @@ def _plan(sized: DataFrame) -> DataFrame:
 NEW = ["size", "source_size", "target", "taken", "passes", "position", "order_key"]
 
 
+def _mixed(df: DataFrame) -> DataFrame:
+    """What ``mix`` returns, in no order."""
+    base = df.select(*keep_others(df, NEW)).withColumn("size", n_words())
+    plan = _plan(base.select("source", F.col("doc_id").cast("long").alias("doc_id"), "size")).alias("p")
+    b = base.alias("b")
+    same = (
+        F.col("b.source").eqNullSafe(F.col("p.source"))
+        & F.col("b.doc_id").cast("long").eqNullSafe(F.col("p.doc_id"))
+        & (F.col("b.size") == F.col("p.size"))
+    )
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda acc, p: acc + p["words"])
+    joined = b.join(plan, same).select("b.*", "p.source_size", "p.target", "p.passes", "p.order_key")
+    return joined.withColumns({"taken": taken, "position": F.get("passes", F.lit(0))["time"]})
+
+
 def mix(df: DataFrame) -> DataFrame:
     """df with size, source_size, target, taken, passes (words and time of each use of the text),
     position (time of the first use) and order_key, range-sorted by position.
@@ -133,28 +148,17 @@ def mix(df: DataFrame) -> DataFrame:
     source, null ids one id.  Rows equal in id, source and size are used alike.  Reruns agree.
     Columns of the input that bear one of the new names are replaced.
     """
-    base = df.select(*keep_others(df, NEW)).withColumn("size", n_words())
-    plan = _plan(base.select("source", F.col("doc_id").cast("long").alias("doc_id"), "size")).alias("p")
-    b = base.alias("b")
-    same = (
-        F.col("b.source").eqNullSafe(F.col("p.source"))
-        & F.col("b.doc_id").cast("long").eqNullSafe(F.col("p.doc_id"))
-        & (F.col("b.size") == F.col("p.size"))
-    )
-    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda acc, p: acc + p["words"])
-    joined = b.join(plan, same).select("b.*", "p.source_size", "p.target", "p.passes", "p.order_key")
-    return joined.withColumns(
-        {"taken": taken, "position": F.get("passes", F.lit(0))["time"]}
-    ).orderBy(F.asc_nulls_last("position"), "order_key", "doc_id")
+    return _mixed(df).orderBy(F.asc_nulls_last("position"), "order_key", "doc_id")
 
 
 def training_rows(df: DataFrame) -> DataFrame:
     """The mixture itself: a row of df for each use of a document, range-sorted by training time.
 
-    A text is used whole; a last use of which less than half is asked for is left out.
+    A text is used whole; a last use of which less than half is asked for is left out.  All columns
+    of df come back as they were, whatever their names.
     """
-    columns = df.columns
-    uses = mix(df).withColumn("use", F.explode("passes")).filter(
+    rows = df.select(F.struct(*df.columns).alias("_row"), "doc_id", "source", "text")
+    uses = _mixed(rows).withColumn("use", F.explode("passes")).filter(
         F.col("use")["words"] * 2 >= F.col("size")
     )
-    return uses.orderBy(F.col("use")["time"], "order_key", "doc_id").select(*columns)
+    return uses.orderBy(F.col("use")["time"], "order_key", "doc_id").select("_row.*")
