@@ -45,10 +45,12 @@ class NowcastBoostConfig(BoostConfig):
 class ForecastConfig:
     horizon: int = 12
     test_size: int = 12
-    cv_splits: int = 5
     min_rows: int = 36
     scenario_pct: float = 0.02
     interval: float = 0.95
+    #: The structural model of the contest: "straight" (month means) or "piecewise" (waves).
+    structural: str = "straight"
+    mode: str = "additive"
     features: FeatureConfig = field(default_factory=FeatureConfig)
     boost: BoostConfig = field(default_factory=BoostConfig)
 
@@ -56,7 +58,6 @@ class ForecastConfig:
 @dataclass(frozen=True)
 class NowcastConfig:
     cutoff_day: int = 20
-    cutoffs: tuple[int, ...] = (10, 20, 30)
     target_lags: tuple[int, ...] = (1, 2, 12)
     test_size: int = 12
     horizon: int = 12

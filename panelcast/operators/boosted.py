@@ -115,10 +115,12 @@ def recursive_forecast_boosted(
     target: str = "y",
     horizon: int = 12,
     ds: str = "ds",
+    values: DataFrame | None = None,
 ) -> DataFrame:
     """All series take each step together; the state of a series is one row with a value buffer.
 
-    The steps are narrow projections on that row, so the whole path is one stage without shuffle.
+    ``values`` is the gap-filled target up to the last known period, for a ``history`` of feature
+    rows from which incomplete ones were dropped: lags count its periods.  The steps are narrow projections on that row, so the whole path is one stage without shuffle.
     """
     keys = model.keys
     by_name = {s.name: s for s in specs}
@@ -130,7 +132,8 @@ def recursive_forecast_boosted(
     place = {x: i for i, x in enumerate(model.xs)}
     order = [place[s.name] for s in (*frozen, *dated, *fed_back)]
 
-    rows = recent_values(history, keys, target, state_depth(used), ds)
+    state = history if values is None else values
+    rows = recent_values(state, keys, target, state_depth(used), ds)
     if frozen:
         last = latest_row(history.select(*keys, ds, *[s.name for s in frozen]), keys, ds)
         rows = attach(rows, last, keys, [s.name for s in frozen])

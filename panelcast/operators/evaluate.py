@@ -5,7 +5,8 @@ Predictions are long: ``(keys..., ds, model, y, yhat)``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -56,6 +57,46 @@ def expand_folds(df: DataFrame, folds: DataFrame, keys: Sequence[str], ds: str =
     return rows.withColumns({"fold": F.col("_f.fold"), "split": split}).drop("_bounds", "_f")
 
 
+def rolling_cv(
+    df: DataFrame,
+    keys: Sequence[str],
+    fit: Callable[[DataFrame, list[str]], Any],
+    predict: Callable[[Any, DataFrame, list[str]], DataFrame],
+    n_splits: int = 5,
+    test_size: int = 12,
+    model: str = "model",
+    y: str = "y",
+    ds: str = "ds",
+    pooled: bool = False,
+) -> DataFrame:
+    """Out-of-sample predictions ``(keys..., fold, ds, model, y, yhat)`` of a model refitted per fold.
+
+    ``fit(train, keys)`` gives a model and ``predict(model, test, keys)`` the test rows, or rows of
+    their dates, with ``yhat``.  Models with one fit per series see the fold as one more key, so all
+    folds run in one job.  A model that shares rows between series (``pooled``) would learn one
+    fold's test rows from the next fold, so it is fitted fold by fold.  Test rows that the model does
+    not reach have a NULL ``yhat``.  Feed ``error_metrics`` and ``fold_summary`` with the result.
+    """
+    by_fold = [*keys, "fold"]
+    folds = expanding_folds(df, keys, n_splits, test_size, ds)
+
+    def score(rows: DataFrame) -> DataFrame:
+        fitted = fit(rows.filter("split = 'train'").drop("split"), by_fold)
+        test = rows.filter("split = 'test'").drop("split")
+        path = predict(fitted, test, by_fold).select(*by_fold, ds, "yhat")
+        truth = test.select(*by_fold, ds, F.col(y).alias("y"))
+        return truth.join(path, [*by_fold, ds], "left").select(
+            *by_fold, ds, F.lit(model).alias("model"), "y", "yhat"
+        )
+
+    if not pooled:
+        return score(folds)
+    out = score(folds.filter("fold = 1"))
+    for k in range(2, n_splits + 1):
+        out = out.unionByName(score(folds.filter(F.col("fold") == k)))
+    return out
+
+
 def fold_report(folds: DataFrame, keys: Sequence[str], ds: str = "ds") -> DataFrame:
     return folds.groupBy(*keys, "fold", "split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(ds).alias("first_ds"), F.max(ds).alias("last_ds")
@@ -86,10 +127,18 @@ def _mase(mae: Column, naive: Column) -> Column:
     return F.when(naive > 0, mae / naive).otherwise(F.lit(0.0))
 
 
-def metrics_table(predicted: DataFrame, keys: Sequence[str], ds: str = "ds") -> DataFrame:
-    """All four metrics; the MASE scale is the naive error of the evaluation window."""
+def metrics_table(
+    predicted: DataFrame, keys: Sequence[str], ds: str = "ds", counted: bool = False
+) -> DataFrame:
+    """All four metrics; the MASE scale is the naive error of the evaluation window.
+
+    ``counted`` adds ``n_scored``, the rows with truth and prediction, which ``best_model`` heeds.
+    """
     diffs = naive_diff(predicted, [*keys, "model"], "y", ds)
-    out = diffs.groupBy(*keys, "model").agg(*_error_exprs(), F.avg("naive_diff").alias("_naive"))
+    n_scored = [F.count(F.col("y") - F.col("yhat")).alias("n_scored")] if counted else []
+    out = diffs.groupBy(*keys, "model").agg(
+        *_error_exprs(), F.avg("naive_diff").alias("_naive"), *n_scored
+    )
     return out.withColumn("mase", _mase(F.col("mae"), F.col("_naive"))).drop("_naive")
 
 
@@ -126,11 +175,13 @@ def gain_vs_baseline(metrics: DataFrame, keys: Sequence[str], baseline: str) ->
 def best_model(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smallest RMSE per series; equal models are ordered by name.
 
-    A model without a finite RMSE has failed and never wins; a series on which all have failed stays,
+    If the metrics have ``n_scored``, a model that scores fewer rows than another loses to it.  A
+    model without a finite RMSE has failed and never wins; a series on which all have failed stays,
     with NULL for its model and its figures.
     """
     failed = F.col("rmse").isNull() | F.isnan("rmse")
-    rank = F.struct(failed, "rmse", "model")
+    fewer = [-F.col("n_scored")] if "n_scored" in metrics.columns else []
+    rank = F.struct(failed, *fewer, "rmse", "model")
     values = [F.when(~failed, F.col(c)).alias(c) for c in metrics.columns if c not in keys]
     return metrics.groupBy(*keys).agg(F.min_by(F.struct(*values), rank).alias("_best")).select(
         *keys, "_best.*"

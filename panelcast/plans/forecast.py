@@ -14,8 +14,11 @@ from panelcast.operators.evaluate import align_eval, best_model, metrics_table,
 from panelcast.operators.explain import global_attribution, tree_contributions
 from panelcast.operators.quality import quality_verdict
 from panelcast.operators.scenarios import scenario_path, scenario_table
-from panelcast.operators.structural import structural_fit, structural_predict
-from panelcast.operators.windows import ar_feature_specs, ar_features, holdout_split
+from panelcast.operators.shape import attach
+from panelcast.operators.structural import (
+    piecewise_fit, piecewise_predict, structural_fit, structural_predict,
+)
+from panelcast.operators.windows import ar_feature_specs, ar_features
 from panelcast.session import cut_lineage
 
 STRUCTURAL, BOOSTED = "structural", "boosted"
@@ -33,8 +36,20 @@ class ForecastResult:
     summary: DataFrame
 
 
-def _structural_path(history: DataFrame, keys: Sequence[str], horizon: int, level: float) -> DataFrame:
-    rows = structural_predict(structural_fit(history, keys), keys, horizon, level)
+# Name of a structural model: how it is fitted and how it is continued.
+FORMS = {
+    "straight": (structural_fit, structural_predict),
+    "piecewise": (piecewise_fit, piecewise_predict),
+}
+
+
+def _structural_path(
+    history: DataFrame, keys: Sequence[str], horizon: int, config: ForecastConfig
+) -> DataFrame:
+    if config.structural not in FORMS:
+        raise ValueError(f"structural must be one of {tuple(FORMS)}")
+    fit, predict = FORMS[config.structural]
+    rows = predict(fit(history, keys, mode=config.mode), keys, horizon, config.interval)
     return rows.filter("is_future").select(*keys, "ds", F.lit(STRUCTURAL).alias("model"), "yhat")
 
 
@@ -49,7 +64,10 @@ def run_forecast(
 ) -> ForecastResult:
     """Quality, features, hold-out contest of two models, refit, attribution, path, scenarios.
 
-    ``panel`` is gap-filled monthly data ``(keys..., ds, y, drivers...)``.
+    ``panel`` is gap-filled monthly data ``(keys..., ds, y, drivers...)``.  The test months are the
+    last ``test_size`` months of the calendar up to a series' last complete feature row.  The
+    structural model and the recursion's state see the panel itself, also months whose features are
+    incomplete.
     """
     boost = boost or config.boost
     f = config.features
@@ -59,21 +77,28 @@ def run_forecast(
     specs = ar_feature_specs("y", drivers, **shape)
     xs = names(specs)
     features = ar_features(panel, keys, "y", drivers, shock_lag=f.shock_lag, **shape)
-    rows = cut_lineage(holdout_split(features, keys, config.test_size))
+    features = cut_lineage(features)
+    ends = features.groupBy(*keys).agg(F.max("ds").alias("_end"))
+    first_test = F.add_months("_end", 1 - config.test_size)
+    split = F.when(F.col("ds") >= first_test, "test").otherwise("train")
+    rows = cut_lineage(attach(features, ends, keys, ["_end"]).withColumn("split", split).drop("_end"))
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    known = attach(panel.select(*keys, "ds", "y"), ends, keys, ["_end"]).filter("ds <= _end")
+    known = cut_lineage(known.withColumn("split", split).drop("_end"))
+    known_train = known.filter("split = 'train'")
 
     trial = boosted_forecast_fit(train, keys, "y", xs, boost)
-    recursive = recursive_forecast_boosted(trial, train, specs, "y", config.test_size)
-    contest = _structural_path(train, keys, config.test_size, config.interval).unionByName(
+    recursive = recursive_forecast_boosted(trial, train, specs, "y", config.test_size, values=known_train)
+    contest = _structural_path(known_train, keys, config.test_size, config).unionByName(
         recursive.select(*keys, "ds", F.lit(BOOSTED).alias("model"), "yhat")
     )
     predictions = cut_lineage(align_eval(test.select(*keys, "ds", "y"), contest, keys))
-    metrics = metrics_table(predictions, keys)
+    metrics = metrics_table(predictions, keys, counted=True)
     winner = best_model(metrics, keys)
 
     final = boosted_forecast_fit(rows, keys, "y", xs, boost)
-    paths = _structural_path(rows, keys, config.horizon, config.interval).unionByName(
-        recursive_forecast_boosted(final, rows, specs, "y", config.horizon).select(
+    paths = _structural_path(known, keys, config.horizon, config).unionByName(
+        recursive_forecast_boosted(final, rows, specs, "y", config.horizon, values=known).select(
             *keys, "ds", F.lit(BOOSTED).alias("model"), "yhat"
         )
     )

@@ -56,7 +56,7 @@ def nowcast_backtest(
     for part in parts:
         part = part.select(*keys, ds, "model", "y", "yhat", "sigma")
         stacked = part if stacked is None else stacked.unionByName(part)
-    metrics = gain_vs_baseline(metrics_table(stacked, keys, ds), keys, BASELINE)
+    metrics = gain_vs_baseline(metrics_table(stacked, keys, ds, counted=True), keys, BASELINE)
     return Backtest(stacked, metrics)
 
 

@@ -775,16 +775,17 @@ def h14_nowcast_backtest(spark, sf):
 
 def _cv_predictions(spark, sf):
     """AR(1) refitted in every fold of every series, in one job."""
+    def fit(train, keys):
+        return train.groupBy(*keys).agg(
+            F.regr_intercept("y", "y_lag1").alias("a"), F.regr_slope("y", "y_lag1").alias("b")
+        )
+
+    def predict(model, test, keys):
+        yhat = F.col("a") + F.col("b") * F.col("y_lag1")
+        return shape.attach(test, model, keys, ["a", "b"]).withColumn("yhat", yhat)
+
     rows = windows.lags(known_target(spark, sf), KEYS, "y", [1])
-    folds = evaluate.expanding_folds(rows, KEYS, 5, 12).filter("y is not null and y_lag1 is not null")
-    fits = folds.filter("split = 'train'").groupBy("series", "fold").agg(
-        F.regr_intercept("y", "y_lag1").alias("a"), F.regr_slope("y", "y_lag1").alias("b")
-    )
-    scored = folds.filter("split = 'test'").join(fits, ["series", "fold"])
-    return scored.select(
-        "series", "fold", "ds", F.lit("ar1").alias("model"), "y",
-        (F.col("a") + F.col("b") * F.col("y_lag1")).alias("yhat"),
-    )
+    return evaluate.rolling_cv(rows, KEYS, fit, predict, 5, 12, "ar1").filter("y is not null")
 
 
 @query

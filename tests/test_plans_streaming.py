@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import mixed_frequency, month, noisy_panel, pandas_of, to_spark
 from panelcast import BoostConfig, NowcastBoostConfig, NowcastConfig
+from panelcast.config import ForecastConfig
 from panelcast.plans.forecast import run_forecast
 from panelcast.plans.nowcast import BASELINE, BOOSTED, BRIDGE, run_nowcast
 from panelcast.sources.calendars import gap_fill
@@ -92,3 +93,18 @@ def test_late_rows(spark, feed):
     df, _ = feed
     out = rollup.late_rows(df, ["k"], 20).agg(F.sum("n_in_time"), F.sum("n_late")).first()
     assert out[0] + out[1] == 400 and out[1] == df.filter("day(ts) > 20").count()
+
+
+def test_forecast_run_with_a_hole_and_piecewise_model(spark):
+    """A driver's missing month drops feature rows, not the target: dates stay calendar dates."""
+    df = gap_fill(noisy_panel(spark), ["k"])
+    hole = df.withColumn("x1", F.when(F.col("ds") != month(66), F.col("x1")))
+    result = run_forecast(
+        hole, ["k"], ["x1", "x2"], config=ForecastConfig(structural="piecewise", mode="additive"),
+        boost=BoostConfig(max_depth=2, n_estimators=2),
+    )
+    tests = pandas_of(result.predictions, "k", "model", "ds")
+    assert tests["ds"].min() >= month(60) and tests["ds"].max() == month(71) and tests["yhat"].notna().all()
+    path = pandas_of(result.forecast)
+    assert path["ds"].min() == month(72) and path.groupby("k").size().tolist() == [12, 12]
+    assert {"n_scored"} <= set(result.metrics.columns)

@@ -4,8 +4,9 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from helpers import month, pandas_of, panel, series
+from helpers import month, noisy_panel, pandas_of, panel, series
 from panelcast.functions import scalars
 from panelcast.operators import evaluate, quality, scenarios
 
@@ -154,3 +155,43 @@ def test_date_parts_and_factor(spark):
     row = dates.cyclical(dates.month_dummies(dates.date_parts(df))).first()
     assert (row["month"], row["quarter"], row["day_of_year"], row["month_6"], row["month_5"]) == (6, 2, 153, 1, 0)
     assert np.isclose(row["month_cos"], -1) and np.isclose(row["quarter_sin"], 0)
+
+
+def test_a_model_with_fewer_scored_rows_loses(spark):
+    rows = [("a", month(i), m, float(i), None if m == "lucky" and i else i + (m == "full")) for i in range(6) for m in ("full", "lucky")]
+    rows = [(k, d, m, y, None if p is None else float(p)) for k, d, m, y, p in rows]
+    pred = panel(spark, rows, "k string, ds date, model string, y double, yhat double")
+    metrics = evaluate.metrics_table(pred, ["k"], counted=True)
+    assert {r["model"]: r["n_scored"] for r in metrics.collect()} == {"full": 6, "lucky": 1}
+    assert evaluate.best_model(metrics, ["k"]).first()["model"] == "full"
+
+
+def test_rolling_cv_equals_a_loop(spark):
+    from panelcast.config import BoostConfig
+    from panelcast.operators import boosted, linear, structural
+
+    df, xs = noisy_panel(spark), ["x1", "x2"]
+    ridge = evaluate.rolling_cv(
+        df, ["k"], lambda t, k: linear.ar_baseline_fit(t, k, "y", xs),
+        lambda m, t, k: linear.bridge_predict(m, t, k, xs), 3, 6, "ridge",
+    )
+    line = evaluate.rolling_cv(
+        df, ["k"], lambda t, k: structural.structural_fit(t, k),
+        lambda m, t, k: structural.structural_predict(m, k, 6).filter("is_future"), 3, 6, "structural",
+    )
+    got = {(r["k"], r["fold"], r["ds"], r["model"]): r["yhat"] for r in ridge.unionByName(line).collect()}
+    assert len(got) == 2 * 2 * 3 * 6
+    for fold in (1, 3):
+        end = 72 - (3 - fold) * 6
+        train = df.filter(F.col("ds") < month(end - 6))
+        test = df.filter((F.col("ds") >= month(end - 6)) & (F.col("ds") < month(end)))
+        one = linear.bridge_predict(linear.ar_baseline_fit(train, ["k"], "y", xs), test, ["k"], xs)
+        two = structural.structural_predict(structural.structural_fit(train, ["k"]), ["k"], 6).filter("is_future")
+        for name, rows in (("ridge", one), ("structural", two)):
+            for r in rows.collect():
+                assert np.isclose(got[r["k"], fold, r["ds"], name], r["yhat"])
+    trees = evaluate.rolling_cv(
+        df, ["k"], lambda t, k: boosted.boosted_forecast_fit(t, k, "y", xs, BoostConfig(max_depth=2, n_estimators=2)),
+        lambda m, t, k: m.predict(t), 2, 6, "trees", pooled=True,
+    )
+    assert trees.filter("yhat is not null").groupBy("k", "fold").count().filter("count = 6").count() == 4
