@@ -409,3 +409,12 @@ def redact(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return df.mapInArrow(run, df.schema)
+
+
+def masked_documents(df: DataFrame) -> DataFrame:
+    """``redact`` for a table of documents: a column n_chars follows the new text, 0 for null."""
+    clean = redact(df)
+    if "n_chars" not in df.columns:
+        return clean
+    length = F.coalesce(F.length("text"), F.lit(0)).cast(clean.schema["n_chars"].dataType)
+    return clean.withColumn("n_chars", length).select(*df.columns)

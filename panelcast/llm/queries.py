@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import line_rules, vector_dups
+from panelcast.llm import line_rules, turns, vector_dups
 from panelcast.llm.bpe import token_digests
 from panelcast.llm.common import documents
 from panelcast.llm.curriculum import mix
@@ -70,6 +70,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.audits(turns.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_pii": op2_pii,
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_katz": op8_katz,
     "op9_repeats": op9_repeats,
     "op10_simhash": op10_simhash,
+    "op13_turns": op13_turns,
 }
 
 ORACLES: dict[str, str] = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
@@ -38,18 +39,20 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(df: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; null and wordless texts have the fingerprint 0."""
+def fingerprints(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp) of every row, with long columns to carry along; null and wordless texts have the
+    fingerprint 0."""
+    held = ["doc_id", *carry]
 
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t) for t in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"]
+                [*(batch.column(c) for c in held), pa.array(fps, pa.int64())], [*held, "fp"]
             )
 
-    source = df.select(F.col("doc_id").cast("long"), text_bytes().alias("body"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = df.select(F.col("doc_id").cast("long"), *carry, text_bytes().alias("body"))
+    return source.mapInArrow(run, ", ".join(f"{c} long" for c in [*held, "fp"]))
 
 
 def segments_for(nodes: int, per_node: int = 128) -> int:
@@ -114,6 +117,19 @@ def links(nodes: DataFrame, segments: int) -> DataFrame:
     return probes.join(held, (probes["cell"] == held["cell"]) & near & once).select("u", "v")
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """(fp, component_id) of each fingerprint of rows (doc_id, fp): the smallest doc_id reachable over
+    links of at most MAX_BITS bits, null only if the group has no id; and root, the group itself."""
+    nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    linked = components(links(nodes, segments_for(nodes.count())))
+    roots = linked.join(nodes, linked["id"] == nodes["fp"]).select("fp", "root", "first_id")
+    smallest = roots.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    moved = roots.join(smallest, "root").select("fp", "root", "least_id")
+    return nodes.join(moved, "fp", "left").select(
+        "fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(df: DataFrame) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id, the smallest doc_id
     reachable over links of at most two differing bits.
@@ -121,17 +137,32 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     Rows with equal fingerprints are one node, whatever their number, so a group of copies costs one
     probe set and no pairs among itself.  Null texts count as empty; wordless texts share the
     fingerprint zero and link like any other.  Repeated rows come back repeated.  A null doc_id keeps
-    its row and takes its group's id; the id is null only if the group has no other.
+    its row and takes its group's id; the id is null only if the group has no other.  Texts of any
+    length are hashed whole.  An empty table gives an empty one.
     """
     rows = settle(fingerprints(df))
-    nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = components(links(nodes, segments_for(nodes.count())))
-    roots = linked.join(nodes, linked["id"] == nodes["fp"]).select("fp", "root", "first_id")
-    smallest = roots.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    moved = roots.join(smallest, "root").select("fp", "least_id")
-    group = nodes.join(moved, "fp", "left").select(
-        "fp", F.coalesce("least_id", "first_id").alias("component_id")
-    )
-    return rows.join(group, "fp").select(
+    return rows.join(_groups(rows), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def distinct_documents(df: DataFrame) -> DataFrame:
+    """The rows of df that stay when one of each group of near duplicates does: the one with the
+    smallest doc_id, a row without an id only if no other row of its group has one.
+
+    Rows are told apart by their place in a written table, not by their id, so different texts under
+    one id, or without an id, all stay.  All wordless texts (null, empty, blanks) have the fingerprint
+    zero and are one group.  All columns of df come back as they were, whatever their names; an empty
+    table gives an empty one.
+    """
+    packed = settle(df.select(
+        F.struct(*df.columns).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), "text",
+        F.monotonically_increasing_id().alias("place"),
+    ))
+    rows = settle(fingerprints(packed.select("doc_id", "text", "place"), ["place"]))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place"))
+    # First within a fingerprint, with map-side combine, so a hot one is a row when groups meet.
+    by_fp = rows.groupBy("fp").agg(first.alias("first"))
+    roots = _groups(rows).select("fp", "root")
+    keep = by_fp.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.place")
+    return packed.join(keep, "place", "left_semi").select("_doc.*")

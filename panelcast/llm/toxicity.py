@@ -187,3 +187,21 @@ def severities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, severity, p_toxic and toxic (more likely than not) of every row."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", "severity", "p_toxic", (F.col("p_toxic") > 0.5).alias("toxic"))
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+    """The rows of docs whose text is toxic with a probability of at most ``limit``.
+
+    No column is added or replaced, whatever the columns' names.  Null and empty texts are judged as
+    an empty text, very long ones whole, repeated rows alike; an empty table gives an empty one.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        model = sent.value
+        for batch in batches:
+            scores = np.array([model.score(t) for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(model.severity(scores.reshape(-1))[1] <= limit))
+
+    return docs.mapInArrow(run, docs.schema)
