@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import line_rules, turns, vector_dups
+from panelcast.llm import line_rules, phrases, turns, vector_dups
 from panelcast.llm.bpe import token_digests
 from panelcast.llm.common import documents
 from panelcast.llm.curriculum import mix
@@ -70,6 +70,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.audits(turns.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_katz": op8_katz,
     "op9_repeats": op9_repeats,
     "op10_simhash": op10_simhash,
+    "op11_phrases": op11_phrases,
     "op13_turns": op13_turns,
 }
 
@@ -193,5 +198,40 @@ SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.source_size, t.target,
      + greatest(0, least(d.size * copies, quota - start - 2 * t.source_size)) // copies AS BIGINT) AS taken
 FROM sized d JOIN taken t ON d.source IS NOT DISTINCT FROM t.source
   AND d.doc_id IS NOT DISTINCT FROM t.doc_id AND d.size = t.size
+""",
+    "op11_phrases": """
+WITH pieces AS (
+  SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+), counts AS (
+  SELECT lang, m, phrase, count(*) AS f FROM (
+    SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (
+      SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+      FROM (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS m FROM pieces) WHERE len(w) >= m))
+  GROUP BY ALL
+), totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY lang
+), candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND f >= 100
+), inside AS (
+  SELECT DISTINCT lang, a, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
+    SELECT *, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM candidates))
+), kept AS (
+  SELECT c.* FROM candidates c WHERE NOT EXISTS (
+    SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a)
+), cuts AS (
+  SELECT *, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)
+), scored AS (
+  SELECT c.lang, c.phrase, c.k, c.a, l.f AS l, r.f AS r, n,
+    CAST(CAST(1000 AS HUGEINT) * c.a * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.head
+  JOIN counts r ON r.lang = c.lang AND r.phrase = c.rest JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank,
+  phrase, a, l, r, n, score
+FROM best QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """,
 }
