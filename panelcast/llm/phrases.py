@@ -36,7 +36,7 @@ FILTER_BITS = 27
 PROBES = 3
 #: Bits of the rows that Spark's bitmap functions build.
 BUCKET_BITS = 15
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 #: Parts in which a language's candidates are ranked before they meet.
 RANK_PARTS = 64
 NO_LANG = "und"
@@ -75,12 +75,12 @@ class Words:
         column = pa.Array.from_buffers(
             pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
-        number = column.indices.to_numpy().astype(np.int64)
+        number = column.indices.to_numpy()
         seed = xxhash.xxh64_intdigest(lang.encode())
         hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in column.dictionary.to_pylist()], dtype=np.uint64)
         piece = np.cumsum(ends, dtype=np.int32)[first] if len(first) else np.zeros(0, np.int32)
         spaced = np.full(len(data) + len(size), 32, dtype=np.uint8)
-        end = np.cumsum(size + 1) - 1
+        end = (np.cumsum(size + 1) - 1).astype(np.int64)
         inside = np.ones(len(spaced), dtype=bool)
         inside[end] = False
         spaced[inside] = data
@@ -125,27 +125,32 @@ def countable(words: Words, now: np.ndarray | None, before: np.ndarray | None, l
     more than ``known`` words pass unasked.  Counted is what ``now`` makes countable and ``before`` did
     not.  Single words are always countable, so they are counted where ``before`` is missing.
     """
-    at = np.arange(len(words.number))
-    code, chain = words.number, words.hashes[words.number]
-    old = np.full(len(at), before is not None)
+    if not len(words.number):
+        return
+    # Of equal phrases one stands for all: only the number of each place's phrase is kept by place.
+    at, code, size = np.arange(len(words.number), dtype=np.int32), words.number, len(words.hashes)
+    hashes, old, count = words.hashes, np.full(size, before is not None), np.bincount(code, minlength=size)
+    first = np.empty(size, dtype=np.int64)
+    first[code[::-1]] = at[::-1]
     for length in range(1, lengths.stop):
         if length > 1:
-            # Entries at and at + 1 are the parts of the phrase that begins at ``at``.
-            holds = _holds(now, chain) if length - 1 <= known else np.ones(len(at), bool)
-            was = old & _holds(before, chain) if before is not None else np.zeros(len(at), bool)
+            holds = _holds(now, hashes) if length - 1 <= known else np.ones(len(hashes), bool)
+            was = old & _holds(before, hashes) if before is not None else np.zeros(len(hashes), bool)
+            # The phrases at a place and at the next one are the parts of the longer one that begins there.
+            held = holds[code]
             both = np.flatnonzero(
-                (np.diff(at) == 1) & holds[:-1] & holds[1:] & words.joined[at[:-1] + length - 2]
-            ) if len(at) else np.zeros(0, np.int64)
-            old = was[both] & was[both + 1]
-            at, last = at[both], words.number[at[both] + length - 1]
-            chain = _chained(chain[both], words.hashes[last])
-            code = code[both] * len(words.hashes) + last
-        if not len(at):
-            return
-        asked = ~old if length in lengths else np.zeros(len(at), bool)
-        distinct, first, code, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        # All occurrences of a phrase are alike, so a phrase is asked for or not as a whole.
-        pick = np.flatnonzero(asked[first])
+                (np.diff(at) == 1) & held[:-1] & held[1:] & words.joined[at[:-1] + length - 2]
+            )
+            if not len(both):
+                return
+            left, right, at = code[both], code[both + 1], at[both]
+            last = words.number[at + length - 1]
+            _, first, code, count = np.unique(
+                left.astype(np.int64) * size + last, return_index=True, return_inverse=True, return_counts=True
+            )
+            hashes = _chained(hashes[left[first]], words.hashes[last[first]])
+            old = was[left[first]] & was[right[first]]
+        pick = np.flatnonzero(~old) if length in lengths else []
         if len(pick):
             yield length, at[first[pick]], count[pick]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import line_rules, phrases, turns, vector_dups
+from panelcast.llm import line_rules, near_graph, phrases, turns, vector_dups
 from panelcast.llm.bpe import token_digests
 from panelcast.llm.common import documents
 from panelcast.llm.curriculum import mix
@@ -74,6 +74,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
 
+def op12_near_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_graph.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.audits(turns.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -90,6 +94,7 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op10_simhash": op10_simhash,
     "op11_phrases": op11_phrases,
+    "op12_near_graph": op12_near_graph,
     "op13_turns": op13_turns,
 }
 
