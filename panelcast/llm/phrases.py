@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast.llm.blocks import mix64
@@ -105,9 +106,7 @@ def _bits(hashes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _holds(bitmap: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
-    if bitmap is None:
-        return np.zeros(len(hashes), dtype=bool)
+def _holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     out = np.ones(len(hashes), dtype=bool)
     for bit in _bits(hashes):
         out &= (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
@@ -121,8 +120,8 @@ def _chained(chain: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def countable(words: Words, now: np.ndarray | None, before: np.ndarray | None, lengths: range, known: int):
     """(length, first words of distinct phrases, their counts) of the phrases to count.
 
-    A phrase is countable under a filter if it holds both its parts and they are countable; parts of
-    more than ``known`` words pass unasked.  Counted is what ``now`` makes countable and ``before`` did
+    A phrase is countable under a filter if it holds both its parts and they are countable; without a
+    filter, or of more than ``known`` words, parts pass unasked.  Counted is what ``now`` makes countable and ``before`` did
     not.  Single words are always countable, so they are counted where ``before`` is missing.
     """
     if not len(words.number):
@@ -134,7 +133,8 @@ def countable(words: Words, now: np.ndarray | None, before: np.ndarray | None, l
     first[code[::-1]] = at[::-1]
     for length in range(1, lengths.stop):
         if length > 1:
-            holds = _holds(now, hashes) if length - 1 <= known else np.ones(len(hashes), bool)
+            asked = now is not None and length - 1 <= known
+            holds = _holds(now, hashes) if asked else np.ones(len(hashes), bool)
             was = old & _holds(before, hashes) if before is not None else np.zeros(len(hashes), bool)
             # The phrases at a place and at the next one are the parts of the longer one that begins there.
             held = holds[code]
@@ -189,10 +189,14 @@ def _count(
     lengths: range = range(1, LONGEST + 1), known: int = LONGEST,
 ) -> DataFrame:
     """(lang, phrase, f) of the phrases that a pass counts; the empty phrase counts a language's words."""
-    sent = texts.sparkSession.sparkContext.broadcast((now, before))  # two filters of a fixed size
+    # Two filters of a fixed size, squeezed while few of their bits are set.
+    sent = texts.sparkSession.sparkContext.broadcast(tuple(
+        None if bits is None else zstandard.ZstdCompressor(level=1).compress(bits) for bits in (now, before)
+    ))
 
     def run(batches):
-        now, before = sent.value
+        unsqueeze = zstandard.ZstdDecompressor().decompress
+        now, before = (None if bits is None else np.frombuffer(unsqueeze(bits), np.uint8) for bits in sent.value)
         for lang, bodies in _chunks(batches):
             words = Words.of(lang, bodies)
             parts = [(pa.array([""]), np.array([len(words.number)]))] if 1 in lengths and before is None else []
@@ -245,7 +249,7 @@ def _propose(df: DataFrame, support: int, sample: int) -> DataFrame:
     whose pairs are."""
     chosen = settle(_texts(df.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0)))
     enough = max(1, round(support / sample * LOWERED)) if sample > 1 else support
-    short = settle(_count(chosen, np.full(1 << (FILTER_BITS - 3), 255, np.uint8), lengths=range(1, 3)).filter(
+    short = settle(_count(chosen, None, lengths=range(1, 3)).filter(
         (F.col("f") >= enough) & (F.col("phrase") != "")
     ).select("lang", "phrase"))
     long = _count(chosen, _filter(short), lengths=range(3, LONGEST + 1), known=2)
