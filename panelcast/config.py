@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 
@@ -17,7 +18,8 @@ class FeatureConfig:
     lags: tuple[int, ...] = (1, 3, 6, 12)
     rolling: tuple[int, ...] = (3, 6)
     shock_lag: int = 12
-    seasonal: bool = True
+    #: False, "cyclical" (or True), or "categorical": month dummies.
+    seasonal: bool | str = True
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,8 @@ class ForecastConfig:
     test_size: int = 12
     min_rows: int = 36
     scenario_pct: float = 0.02
+    #: Scenario names and their shocks; the summary has a final value of each.
+    scenarios: Mapping[str, float] = field(default_factory=lambda: dict(SCENARIO_SHOCKS))
     interval: float = 0.95
     #: The structural model of the contest: "straight" (month means) or "piecewise" (waves).
     structural: str = "straight"

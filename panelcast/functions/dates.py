@@ -63,6 +63,28 @@ def season_exprs(ds: Column | str, cyclic: bool = True) -> dict[str, Column]:
     return out
 
 
+def dummy_exprs(ds: Column | str) -> dict[str, Column]:
+    """Twelve 0/1 expressions.  The list is fixed, so the schema does not depend on the data."""
+    month = F.month(as_col(ds))
+    return {f"month_{m}": (month == m).cast("int") for m in range(1, 13)}
+
+
+def season_form(seasonal: bool | str, ds: Column | str) -> dict[str, Column]:
+    """The date features of a design: none, ``cyclical`` (also True) or ``categorical`` (month dummies)."""
+    if not seasonal:
+        return {}
+    if seasonal in (True, "cyclical"):
+        return season_exprs(ds)
+    if seasonal == "categorical":
+        return {**season_exprs(ds, cyclic=False), **dummy_exprs(ds)}
+    raise ValueError("seasonal must be False, True, 'cyclical' or 'categorical'")
+
+
+def date_features(ds: Column | str) -> dict[str, Column]:
+    """Every date feature a design can have, by name: what a recursion computes for a step's date."""
+    return {**season_exprs(ds), **dummy_exprs(ds)}
+
+
 def date_parts(df: DataFrame, ds: str = "ds") -> DataFrame:
     return df.withColumns(season_exprs(ds, cyclic=False))
 
@@ -73,9 +95,7 @@ def cyclical(df: DataFrame, ds: str = "ds") -> DataFrame:
 
 
 def month_dummies(df: DataFrame, ds: str = "ds") -> DataFrame:
-    """Twelve 0/1 columns.  The list is fixed, so the schema does not depend on the data."""
-    month = F.month(as_col(ds))
-    return df.withColumns({f"month_{m}": (month == m).cast("int") for m in range(1, 13)})
+    return df.withColumns(dummy_exprs(ds))
 
 
 def weekday_factor(ds: Column | str, saturday: float = 0.75, sunday: float = 0.60) -> Column:

@@ -124,12 +124,35 @@ def nowcast_feature_specs(
     return specs
 
 
-def nowcast_features(
+def stack_frequencies(
     target_df: DataFrame,
     keys: Sequence[str],
     target: str = "y",
     daily: tuple[DataFrame, Sequence[str]] | None = None,
     weekly: tuple[DataFrame, Sequence[str]] | None = None,
+    ds: str = "ds",
+) -> DataFrame:
+    """Target months, daily and weekly rows in one table: ``(keys..., ds, target, cols..., is_indicator)``.
+
+    Kept as a stored panel (``sources.store``) it lets ``features_of_stack`` run without a shuffle.
+    """
+    if daily is None and weekly is None:
+        raise ValueError("a daily or a weekly panel is needed")
+    stacked = target_df.select(*keys, ds, target, F.lit(None).cast("boolean").alias("is_indicator"))
+    for source in (daily, weekly):
+        if source is not None:
+            frame, cols = source
+            rows = frame.select(*keys, ds, *cols, F.lit(True).alias("is_indicator"))
+            stacked = stacked.unionByName(rows, allowMissingColumns=True)
+    return stacked
+
+
+def features_of_stack(
+    stacked: DataFrame,
+    keys: Sequence[str],
+    target: str = "y",
+    daily_cols: Sequence[str] = (),
+    weekly_cols: Sequence[str] = (),
     cutoff: int | None = 20,
     target_lags: Sequence[int] = (1, 2, 12),
     fill_gaps: bool = True,
@@ -137,28 +160,20 @@ def nowcast_features(
 ) -> DataFrame:
     """Cut, roll up, align with the target, month-over-month changes, target lags, warm-up drop.
 
-    Daily rows, weekly rows and target months are stacked under their month and rolled up by ONE
-    aggregate (partial sums travel, not rows).  A second, month-sized shuffle by series serves the
-    calendar completion and every window after it.
+    The stacked rows are rolled up by ONE aggregate (partial sums travel, not rows).  A second,
+    month-sized shuffle by series serves the calendar completion and every window after it.
     """
-    if daily is None and weekly is None:
-        raise ValueError("a daily or a weekly panel is needed")
-    stacked = target_df.select(*keys, F.col(ds).alias("_month"), F.col(ds), F.col(target))
+    if cutoff is not None:
+        stacked = stacked.filter(F.col("is_indicator").isNull() | (F.dayofmonth(ds) <= cutoff))
     aggregates = [F.max(target).alias(target)]
     levels: list[str] = []
-    for source, stats in ((daily, DAILY_STATS), (weekly, WEEKLY_STATS)):
-        if source is None:
-            continue
-        frame, cols = source
-        rows = cutoff_filter(frame, cutoff, ds).select(
-            *keys, month_floor(ds).alias("_month"), ds, *cols, F.lit(True).alias("_hf")
-        )
-        stacked = stacked.unionByName(rows, allowMissingColumns=True)
+    for cols, stats in ((daily_cols, DAILY_STATS), (weekly_cols, WEEKLY_STATS)):
         aggregates += stat_exprs(cols, stats, ds)
         levels += [f"{c}_{s}" for c in cols for s in stats if s != "std"]
+    month = F.when(F.col("is_indicator"), month_floor(ds)).otherwise(F.col(ds))
     monthly = (
-        stacked.groupBy(*keys, "_month")
-        .agg(*aggregates, F.max("_hf").alias("_hf"))
+        stacked.withColumn("_month", month).groupBy(*keys, "_month")
+        .agg(*aggregates, F.max("is_indicator").alias("_hf"))
         .withColumnRenamed("_month", ds)
     )
     if fill_gaps:
@@ -169,3 +184,26 @@ def nowcast_features(
     ).drop("_hf")
     monthly = lags(monthly, keys, target, target_lags, ds)
     return drop_warmup(monthly, keys, max(target_lags), ds)
+
+
+def nowcast_features(
+    target_df: DataFrame,
+    keys: Sequence[str],
+    target: str = "y",
+    daily: tuple[DataFrame, Sequence[str]] | None = None,
+    weekly: tuple[DataFrame, Sequence[str]] | None = None,
+    cutoff: int | None = 20,
+    target_lags: Sequence[int] = (1, 2, 12),
+    fill_gaps: bool = True,
+    ds: str = "ds",
+) -> DataFrame:
+    """``features_of_stack`` from panels of their own: each is cut before it is stacked."""
+
+    def cut(source):
+        return source and (cutoff_filter(source[0], cutoff, ds), source[1])
+
+    stacked = stack_frequencies(target_df, keys, target, cut(daily), cut(weekly), ds)
+    return features_of_stack(
+        stacked, keys, target, daily[1] if daily else (), weekly[1] if weekly else (), None, target_lags,
+        fill_gaps, ds,
+    )

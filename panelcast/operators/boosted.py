@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelcast.config import BoostConfig, NowcastBoostConfig
-from panelcast.functions.dates import season_exprs
+from panelcast.functions.dates import date_features
 from panelcast.functions.scalars import interval
 from panelcast.functions.spec import FeatureSpec
 from panelcast.operators.forecast import back, recent_values, state_depth, trailing_mean
@@ -19,6 +20,11 @@ from panelcast.operators.shape import attach, doubles, drop_incomplete
 from panelcast.operators.windows import latest_row
 from panelcast.session import cut_lineage, shared_dir
 
+#: Rows of the design that one task of a boosting round takes.
+ROWS_PER_TASK = 65_536
+#: Rounds between two checkpoints of the rounds' state.
+ROUNDS_PER_CHECKPOINT = 50
+
 
 def _scale(value: Column, mean: Column, sd: Column) -> Column:
     return (value - mean) / sd
@@ -78,7 +84,9 @@ def boosted_fit(
         F.array(*[F.avg(x) for x in xs]).alias("_xm"),
         F.array(*[deviation(x) for x in xs]).alias("_xs"),
     )
-    scaled = attach(rows, scales, keys, ["_ym", "_ys", "_xm", "_xs"])
+    # A round is some seven jobs over the design: no more tasks than its rows need.
+    tasks = max(1, ceil(rows.count() / ROWS_PER_TASK))
+    scaled = attach(rows, scales, keys, ["_ym", "_ys", "_xm", "_xs"]).coalesce(tasks)
     z = [_scale(F.col(x), F.col("_xm")[i], F.col("_xs")[i]) for i, x in enumerate(xs)]
     design = cut_lineage(scaled.select(
         _scale(F.col(y), F.col("_ym"), F.col("_ys")).alias("_target"),
@@ -88,6 +96,7 @@ def boosted_fit(
         featuresCol="_z", labelCol="_target", predictionCol="_pred",
         maxDepth=config.max_depth, stepSize=config.learning_rate, maxIter=config.n_estimators,
         subsamplingRate=config.subsample, featureSubsetStrategy=str(config.colsample), seed=config.seed,
+        checkpointInterval=ROUNDS_PER_CHECKPOINT,
     ).fit(design)
     model = BoostedModel(list(keys), list(xs), scales.withColumn("sigma", F.lit(None).cast("double")), trees)
     fitted = model.predict(rows).groupBy(*keys).agg(F.stddev_pop(F.col(y) - F.col("yhat")).alias("sigma"))
@@ -144,7 +153,7 @@ def recursive_forecast_boosted(
         return _scale(value.cast("double"), F.col("_xm")[i], F.col("_xs")[i])
 
     def dated_z(i: Column) -> Column:
-        parts = season_exprs(F.add_months("last_ds", i))
+        parts = date_features(F.add_months("last_ds", i))
         return F.array(*[z(parts[s.name], s) for s in dated])
 
     # Everything known before the first step is scaled once: frozen features and all date features.

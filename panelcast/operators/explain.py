@@ -75,25 +75,27 @@ def _subset_weights(d: int) -> np.ndarray:
     return np.array([factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)])
 
 
-def _pattern_tables(leaves: list[_Leaf], d: int) -> np.ndarray:
-    """(leaf, feature, pattern): a leaf's share of the attribution for each set of features known to
-    lie inside their intervals, a pattern being that set's bits."""
-    known = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)
-    share = np.stack([leaf.share for leaf in leaves])
-    value = np.array([leaf.value for leaf in leaves])
+def _path_parts(inside: np.ndarray, share: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Attributions (rows, leaves, d) of the d features of each leaf's path.
+
+    Coefficient k of the product of (share + inside * t) over a path's features sums the coalitions of
+    k known features.  The product is extended feature by feature; what it is without a feature comes
+    from unwinding that factor again, top coefficient first, which never divides by less than a share.
+    """
+    d = share.shape[1]
     by_size = _subset_weights(d)
-    out = np.empty((len(leaves), d, 1 << d))
-    for i in range(d):
-        poly = np.ones((len(leaves), 1 << d, 1))
-        for j in range(d):
-            if j == i:
-                continue
-            grown = np.zeros((*poly.shape[:2], poly.shape[2] + 1))
-            grown[..., :-1] += poly * share[:, j, None, None]
-            grown[..., 1:] += poly * known[None, :, j, None]
-            poly = grown
-        out[:, i] = value[:, None] * (known[None, :, i] - share[:, [i]]) * (poly @ by_size)
-    return out
+    poly = np.zeros((d + 1, *inside.shape[:2]))
+    poly[0] = 1.0
+    for j in range(d):
+        poly[1 : j + 2] = poly[1 : j + 2] * share[:, j] + poly[: j + 1] * inside[:, :, j]
+        poly[0] *= share[:, j]
+    absent = np.tensordot(by_size, poly[:d], 1)[:, :, None] / share
+    rest = np.broadcast_to(poly[d][:, :, None], inside.shape)
+    known = by_size[d - 1] * rest
+    for k in range(d - 1, 0, -1):
+        rest = poly[k][:, :, None] - share * rest
+        known = known + by_size[k - 1] * rest
+    return value[:, None] * (inside - share) * np.where(inside > 0, known, absent)
 
 
 def shapley_values(x: np.ndarray, leaves: list[_Leaf], cells: int = 1 << 20) -> np.ndarray:
@@ -101,28 +103,30 @@ def shapley_values(x: np.ndarray, leaves: list[_Leaf], cells: int = 1 << 20) ->
 
     For a leaf with d distinct features on its path, the coalition game is a product of one factor
     per feature: 1 or 0 when the feature is known (row inside the interval or not), the kept share
-    when it is not.  The sum over coalitions by size is the product polynomial of the others.  It
-    depends on a row only through the d inside-or-not bits, so it is tabulated for the 2**d
-    patterns, leaves of equal d together and at most ``cells`` patterns at a time, and looked up.
+    when it is not.  Leaves of equal d are taken together, some rows and some leaves at a time, so
+    that no array holds more than ``cells`` numbers whatever the depth; time grows with d * d.
     """
-    columns = np.ascontiguousarray(x.T)
-    phi = np.zeros(columns.shape)
+    phi = np.zeros(x.shape)
     by_depth: dict[int, list[_Leaf]] = {}
     for leaf in leaves:
         by_depth.setdefault(len(leaf.features), []).append(leaf)
     by_depth.pop(0, None)
     for d, group in by_depth.items():
-        step = max(1, cells >> d)
-        for at in range(0, len(group), step):
-            part = group[at : at + step]
-            for leaf, table in zip(part, _pattern_tables(part, d)):
-                code = np.zeros(len(x), dtype=np.int32)
-                for i, f in enumerate(leaf.features):
-                    inside = (columns[f] > leaf.low[i]) & (columns[f] <= leaf.high[i])
-                    code |= inside.astype(np.int32) << i
-                for i, f in enumerate(leaf.features):
-                    phi[f] += table[i].take(code)
-    return phi.T
+        some_leaves = max(1, min(len(group), 256, cells // (d + 1)))
+        some_rows = max(1, min(len(x), cells // ((d + 1) * some_leaves)))
+        for at in range(0, len(group), some_leaves):
+            part = group[at : at + some_leaves]
+            features = np.array([leaf.features for leaf in part])
+            low, high, share = (np.stack([getattr(leaf, n) for leaf in part]) for n in ("low", "high", "share"))
+            value = np.array([leaf.value for leaf in part])
+            belongs = np.zeros((features.size, x.shape[1]))
+            belongs[np.arange(features.size), features.reshape(-1)] = 1.0
+            for row in range(0, len(x), some_rows):
+                block = x[row : row + some_rows][:, features]
+                inside = ((block > low) & (block <= high)).astype(float)
+                parts = _path_parts(inside, share, value)
+                phi[row : row + some_rows] += parts.reshape(len(parts), -1) @ belongs
+    return phi
 
 
 def tree_contributions(

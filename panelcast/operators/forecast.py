@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelcast.functions.dates import season_exprs
+from panelcast.functions.dates import date_features
+from panelcast.functions.scalars import interval
 from panelcast.functions.spec import FeatureSpec
-from panelcast.operators.linear import bridge_predict, fit_linear
+from panelcast.operators.linear import bridge_predict, fit_linear, line_deviation
 from panelcast.operators.shape import attach
 from panelcast.operators.windows import from_end, latest_row, over_time
 
@@ -82,7 +83,7 @@ def recursive_forecast_linear(
 
     def advance(buffer: Column, i: Column) -> Column:
         value = F.col("_constant")
-        date_parts = season_exprs(F.add_months("last_ds", i))
+        date_parts = date_features(F.add_months("last_ds", i))
         for s in specs:
             if s.kind == "target_lag":
                 value = value + coef(s) * back(buffer, s.k)
@@ -122,20 +123,25 @@ def direct_design(df: DataFrame, keys: Sequence[str], y: str, horizon: int, ds:
 
 
 def direct_forecast_ar1(
-    df: DataFrame, keys: Sequence[str], y: str = "y", horizon: int = 12, ds: str = "ds"
+    df: DataFrame, keys: Sequence[str], y: str = "y", horizon: int = 12, ds: str = "ds",
+    level: float | None = None,
 ) -> DataFrame:
-    """One least-squares line per series and horizon, evaluated at the newest value."""
+    """One least-squares line per series and horizon, evaluated at the newest value.
+
+    With a ``level`` each step has the band of its own line's residuals, which widens by itself."""
     rows = direct_design(df.select(*keys, ds, y), keys, y, horizon, ds)
     fits = rows.groupBy(*keys, "step").agg(
         F.regr_intercept("y_ahead", y).alias("intercept"),
         F.regr_slope("y_ahead", y).alias("slope"),
         F.max(ds).alias("_last"),
         F.max_by(y, ds).alias("_now"),
+        *([line_deviation("y_ahead", y).alias("sigma")] if level else []),
     )
-    return fits.select(
+    scored = fits.select(
         *keys, F.add_months("_last", F.col("step")).alias(ds), "step",
-        (F.col("intercept") + F.col("slope") * F.col("_now")).alias("yhat"),
+        (F.col("intercept") + F.col("slope") * F.col("_now")).alias("yhat"), *(["sigma"] if level else []),
     )
+    return interval(scored, level).drop("sigma") if level else scored
 
 
 def direct_forecast(

@@ -67,9 +67,9 @@ def moments(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> Da
 
 
 def solve_penalized(
-    cov: np.ndarray, cov_xy: np.ndarray, alpha: float, l1_ratio: float
+    cov: np.ndarray, cov_xy: np.ndarray, alpha: float, l1_ratio: float, start: np.ndarray | None = None
 ) -> np.ndarray:
-    """Coefficients on the z-scored features for many series at once.
+    """Coefficients on the z-scored features for many series at once; ``start`` is where a descent begins.
 
     Minimises 1/(2n)|y - Zw|^2 + alpha*l1_ratio*|w|_1 + alpha*(1-l1_ratio)/2*|w|^2 from the
     correlation-scaled moments, ``cov`` (s, p, p) and ``cov_xy`` (s, p).
@@ -80,7 +80,7 @@ def solve_penalized(
     ridge = alpha * (1 - l1_ratio)
     if l1_ratio == 0:
         return np.linalg.solve(cov + ridge * np.eye(p), cov_xy[..., None])[..., 0]
-    w = np.zeros_like(cov_xy)
+    w = np.zeros_like(cov_xy) if start is None else start.copy()
     diagonal = np.einsum("sii->si", cov) + ridge
     for _ in range(MAX_SWEEPS):
         moved = np.zeros(len(w))
@@ -173,9 +173,11 @@ def bridge_fit(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], al
     return fit_linear(df, keys, y, xs, alpha, l1_ratio)
 
 
-def ar_baseline_fit(df: DataFrame, keys: Sequence[str], y: str, lag_cols: Sequence[str]) -> DataFrame:
+def ar_baseline_fit(
+    df: DataFrame, keys: Sequence[str], y: str, lag_cols: Sequence[str], alpha: float = 1.0
+) -> DataFrame:
     """Ridge on the target lags only: the pure-forecast yardstick."""
-    return fit_linear(df, keys, y, lag_cols, alpha=1.0, l1_ratio=0.0)
+    return fit_linear(df, keys, y, lag_cols, alpha, l1_ratio=0.0)
 
 
 def bridge_predict(
@@ -198,13 +200,23 @@ def predict_with_interval(
     return interval(bridge_predict(model, df, keys, xs), level)
 
 
-def ar1_fit(df: DataFrame, keys: Sequence[str], y: str = "y", ds: str = "ds") -> DataFrame:
-    """Least-squares y on its own previous value, as plain aggregates."""
+def line_deviation(y: str, x: str) -> Column:
+    """Residual deviation of the least-squares line of y on x, two degrees of freedom taken."""
+    left = F.regr_syy(y, x) - F.try_divide(F.regr_sxy(y, x) * F.regr_sxy(y, x), F.regr_sxx(y, x))
+    return F.when(F.regr_count(y, x) > 2, F.sqrt(F.greatest(left, F.lit(0.0)) / (F.regr_count(y, x) - 2)))
+
+
+def ar1_fit(
+    df: DataFrame, keys: Sequence[str], y: str = "y", ds: str = "ds", spread: bool = False
+) -> DataFrame:
+    """Least-squares y on its own previous value, as plain aggregates; ``spread`` adds the residual
+    deviation as ``sigma``."""
     rows = lags(df.select(*keys, ds, y), keys, y, [1], ds)
     return rows.groupBy(*keys).agg(
         F.regr_intercept(y, f"{y}_lag1").alias("intercept"),
         F.regr_slope(y, f"{y}_lag1").alias("slope"),
         F.regr_count(y, f"{y}_lag1").alias("n"),
+        *([line_deviation(y, f"{y}_lag1").alias("sigma")] if spread else []),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelcast.functions.dates import month_number
 from panelcast.functions.scalars import interval
+from panelcast.operators.bands import slope_change_variance
 from panelcast.operators.windows import whole
 
 MODES = ("additive", "multiplicative")
@@ -191,9 +192,13 @@ def piecewise_fit(
 
 
 def piecewise_predict(
-    model: DataFrame, keys: Sequence[str], horizon: int = 12, level: float = 0.95
+    model: DataFrame, keys: Sequence[str], horizon: int = 12, level: float = 0.95, widen: bool = False
 ) -> DataFrame:
-    """Same output as ``structural_predict``; evaluated in columns from the coefficient arrays."""
+    """Same output as ``structural_predict``; evaluated in columns from the coefficient arrays.
+
+    ``widen`` lets the trend bend on: every future month changes the slope as often and as much as the
+    months of the history did on average, in the fit's own (shrunk) slope changes.
+    """
     rows = _model_months(model, keys, horizon).withColumn(
         "_t", F.datediff("ds", "first_ds") / F.col("span_days")
     )
@@ -212,6 +217,16 @@ def piecewise_predict(
     season = F.aggregate(F.transform("waves", wave), F.lit(0.0), lambda acc, v: acc + v)
     line = F.element_at("straight", 1) + F.element_at("straight", 2) * F.col("_t")
     effect = F.when(additive, season).otherwise(season * line)
+    if widen:
+        step = F.greatest(month_number("ds") - month_number("last_ds"), F.lit(0))
+        months = F.months_between("last_ds", "first_ds") + 1
+        squares = F.aggregate("knot_slopes", F.lit(0.0), lambda acc, b: acc + b * b)
+        # Changes per month times their mean square is their sum of squares per month; slopes are per
+        # span of the history, which a month is a part of.
+        per_month = F.try_divide(squares, months)
+        part = F.try_divide(F.lit(1.0), F.greatest(months - 1, F.lit(1.0)))
+        bent = slope_change_variance(per_month, part * part, step)
+        rows = rows.withColumn("sigma", F.sqrt(F.col("sigma") * F.col("sigma") + bent))
     out = rows.select(
         *keys, "ds", (trend + effect).alias("yhat"), "sigma", trend.alias("trend"),
         season.alias("seasonal"), (F.col("ds") > F.col("last_ds")).alias("is_future"),

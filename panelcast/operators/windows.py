@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from panelcast.functions.dates import season_exprs
+from panelcast.functions.dates import season_form
 from panelcast.functions.spec import FeatureSpec, lag_name, rolling_name
 from panelcast.operators.shape import drop_incomplete
 
@@ -191,7 +191,7 @@ def ar_feature_specs(
     shocks: Sequence[str] = (),
     ks: Sequence[int] = (1, 3, 6, 12),
     windows: Sequence[int] = (3, 6),
-    seasonal: bool = True,
+    seasonal: bool | str = True,
 ) -> list[FeatureSpec]:
     specs = [FeatureSpec(d, "driver", d) for d in drivers]
     specs += [FeatureSpec(rolling_name(d, n), "rolling", d, n) for d in drivers for n in windows]
@@ -200,8 +200,7 @@ def ar_feature_specs(
             FeatureSpec(f"{s}_12m_change", "shock", s),
             FeatureSpec(f"{s}_shock_magnitude", "shock", s),
         ]
-    if seasonal:
-        specs += [FeatureSpec(n, "season") for n in season_exprs("ds")]
+    specs += [FeatureSpec(n, "season") for n in season_form(seasonal, "ds")]
     specs += [FeatureSpec(lag_name(target, k), "target_lag", target, k) for k in ks]
     return specs
 
@@ -215,15 +214,17 @@ def ar_features(
     ks: Sequence[int] = (1, 3, 6, 12),
     windows: Sequence[int] = (3, 6),
     shock_lag: int = 12,
-    seasonal: bool = True,
+    seasonal: bool | str = True,
     shift: int = 0,
     ds: str = "ds",
 ) -> DataFrame:
-    """Lags of the target, trailing means of the drivers, shocks, seasonality, complete rows."""
+    """Lags of the target, trailing means of the drivers, shocks, seasonality, complete rows.
+
+    ``seasonal`` is False, ``cyclical`` (or True) or ``categorical``, twelve month dummies instead of
+    waves."""
     out = lags(df, keys, target, ks, ds)
     out = rolling_mean(out, keys, drivers, windows, ds, shift)
     for s in shocks:
         out = shock(out, keys, s, shock_lag, ds)
-    if seasonal:
-        out = out.withColumns(season_exprs(ds))
-    return drop_incomplete(out)
+    season = season_form(seasonal, ds)
+    return drop_incomplete(out.withColumns(season) if season else out)

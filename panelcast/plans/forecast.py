@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelcast.config import BoostConfig, ForecastConfig
+from panelcast.config import SCENARIO_SHOCKS, BoostConfig, ForecastConfig
 from panelcast.functions.spec import names
 from panelcast.operators.boosted import boosted_forecast_fit, recursive_forecast_boosted
 from panelcast.operators.evaluate import align_eval, best_model, metrics_table, top_features
@@ -103,12 +103,12 @@ def run_forecast(
         )
     )
     forecast = cut_lineage(paths.join(winner.select(*keys, "model"), [*keys, "model"], "left_semi"))
-    scenarios = scenario_path(forecast, pct=config.scenario_pct)
+    scenarios = scenario_path(forecast, config.scenarios, config.scenario_pct)
     contributions, _ = tree_contributions(final, rows)
     importance = cut_lineage(global_attribution(contributions, keys))
     return ForecastResult(
         quality, rows, predictions, metrics, forecast, scenarios, importance,
-        forecast_summary(rows, metrics, scenarios, importance, keys, config.horizon),
+        forecast_summary(rows, metrics, scenarios, importance, keys, config.horizon, names_of=tuple(config.scenarios)),
     )
 
 
@@ -120,8 +120,10 @@ def forecast_summary(
     keys: Sequence[str],
     horizon: int = 12,
     n_top: int = 5,
+    names_of: Sequence[str] = tuple(SCENARIO_SHOCKS),
 ) -> DataFrame:
-    """One row per series: period, rows, winner with errors, last scenario values, top features."""
+    """One row per series: period, rows, winner with errors, last value of each scenario in
+    ``names_of``, top features."""
     on = list(keys) or ["_one"]
 
     def keyed(df: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def forecast_summary(
     last = keyed(scenario_table(scenarios, keys)).groupBy(*on).agg(
         *[
             F.max(F.when(F.col("scenario") == s, F.col("final_value"))).alias(f"final_{s}")
-            for s in ("pessimista", "base", "otimista")
+            for s in names_of
         ]
     )
     ranked = top_features(keyed(importance), n_top, on)

@@ -43,7 +43,7 @@ def nowcast_backtest(
     rows = cut_lineage(rows)
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
     linear = {
-        BASELINE: (ar_baseline_fit(train, keys, "y", lag_xs), lag_xs),
+        BASELINE: (ar_baseline_fit(train, keys, "y", lag_xs, config.baseline_alpha), lag_xs),
         BRIDGE: (bridge_fit(train, keys, "y", xs, config.bridge_alpha, config.bridge_l1_ratio), xs),
     }
     parts = [

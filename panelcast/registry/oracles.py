@@ -93,6 +93,7 @@ UNION ALL SELECT series, ds, 'rev', rev FROM dp""",
 )
 oracle("a9_dedupe_columns", "SELECT series, ds, idx FROM wp", "wp")
 oracle("a10_write_report", "SELECT series, ds, y FROM np", "np")
+oracle("a10_store_panel", "SELECT series, ds, y FROM np", "np")
 
 # ---- projections, filters, scalar functions
 oracle(
@@ -440,6 +441,46 @@ FROM (SELECT f.series, f.fold, y, a + b * y_lag1 AS yhat FROM folds f LEFT JOIN
     "folds",
 )
 oracle("h15_rolling_cv", f"SELECT series, fold, 'ar1' AS model, {ERR} FROM cv", "cv")
+cte(
+    "moment_cv",
+    """SELECT s.series, s.fold, s.alpha, coalesce(m.n, 0) AS n, coalesce(t.n_test, 0) AS n_test,
+  CASE WHEN m.n >= 3 THEN ym - b * xm END AS intercept, CASE WHEN m.n >= 3 THEN b END AS coef,
+  CASE WHEN m.n >= 3 THEN sqrt(greatest(0, yv - 2 * b * c + b * b * xv)) END AS sigma, t.rmse,
+  CASE WHEN m.n >= 3 THEN 'ok' ELSE 'short' END AS status
+FROM (SELECT DISTINCT series, fold, alpha FROM (SELECT series FROM folds WHERE y IS NOT NULL AND y_lag1 IS NOT NULL),
+      (SELECT CAST(range AS INTEGER) AS fold FROM range(1, 7)), (VALUES (0.01::DOUBLE), (0.1), (1.0)) g(alpha)) s
+LEFT JOIN (
+  SELECT series, fold, alpha, n, ym, xm, yv, xv, c, c / CASE WHEN xv = 0 THEN 1 ELSE xv END / (1 + alpha) AS b
+  FROM (SELECT series, fold, count(*) AS n, avg(y) AS ym, avg(y_lag1) AS xm, var_pop(y) AS yv, var_pop(y_lag1) AS xv,
+          covar_pop(y, y_lag1) AS c
+        FROM (SELECT series, fold, y, y_lag1 FROM folds WHERE split = 'train'
+              UNION ALL SELECT series, 6, y, y_lag1 FROM folds WHERE fold = 5)
+        WHERE y IS NOT NULL AND y_lag1 IS NOT NULL GROUP BY 1, 2), (VALUES (0.01::DOUBLE), (0.1), (1.0)) g(alpha)) m
+  ON m.series = s.series AND m.fold = s.fold AND m.alpha = s.alpha
+LEFT JOIN (SELECT series, fold, count(*) AS n_test FROM folds
+  WHERE split = 'test' AND y IS NOT NULL AND y_lag1 IS NOT NULL GROUP BY 1, 2) k
+  ON k.series = s.series AND k.fold = s.fold
+LEFT JOIN LATERAL (SELECT coalesce(k.n_test, 0) AS n_test, sqrt(avg((f.y - (ym - b * xm) - b * f.y_lag1) ^ 2)) AS rmse
+  FROM folds f WHERE f.series = s.series AND f.fold = s.fold AND f.split = 'test' AND f.y IS NOT NULL
+  AND f.y_lag1 IS NOT NULL AND m.n >= 3) t ON true""",
+    "folds",
+)
+oracle(
+    "h15_moment_cv",
+    f"""SELECT series, fold, alpha, n, n_test, {r('intercept', 2)} AS intercept, {r('coef', 6)} AS coef,
+{r('sigma', 2)} AS sigma, {r('rmse', 2)} AS rmse, status FROM moment_cv""",
+    "moment_cv",
+)
+oracle(
+    "h15_alpha_choice",
+    f"""SELECT series, CASE WHEN scored > 0 THEN alpha END AS alpha, {r('rmse', 2)} AS rmse, n_folds FROM (
+  SELECT series, alpha, coalesce(sum(n_test) FILTER (WHERE rmse IS NOT NULL), 0) AS scored,
+    sqrt(sum(rmse * rmse * n_test) / nullif(sum(n_test) FILTER (WHERE rmse IS NOT NULL), 0)) AS rmse,
+    CAST(count(rmse) AS INTEGER) AS n_folds
+  FROM moment_cv GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY series ORDER BY scored DESC, rmse NULLS FIRST, alpha DESC) = 1""",
+    "moment_cv",
+)
 oracle(
     "d14_fold_summary",
     f"""SELECT series, {r('avg(rmse)')} AS rmse_mean, {r('stddev_pop(rmse)')} AS rmse_std,
@@ -458,6 +499,7 @@ GROUP BY model, bin, lo, w""",
 
 # ---- windows
 oracle("e1_lags", "SELECT * FROM lagged4", "lagged4")
+oracle("e1_lags_stored", "SELECT * FROM lagged4", "lagged4")
 for name, lead in (("e2_rolling_mean", 0), ("e2_rolling_mean_shifted", 1)):
     cols = ", ".join(
         r(f"avg(y) OVER (PARTITION BY series ORDER BY ds ROWS BETWEEN {n - 1 + lead} PRECEDING AND "
@@ -706,6 +748,33 @@ oracle(
     f"SELECT series, CAST(last + to_months(step) AS DATE) AS ds, {r('v', 2)} AS yhat FROM walk WHERE step > 0",
     "walk",
 )
+LINE_SIGMA = (
+    "CASE WHEN regr_count({y}, {x}) > 2 THEN sqrt(greatest(0, regr_syy({y}, {x}) - regr_sxy({y}, {x}) ^ 2"
+    " / nullif(regr_sxx({y}, {x}), 0)) / (regr_count({y}, {x}) - 2)) END"
+)
+cte(
+    "ar1_spread",
+    f"""SELECT series, regr_slope(y, x) AS b, {LINE_SIGMA.format(y='y', x='x')} AS sigma
+FROM (SELECT series, y, lag(y, 1) OVER (PARTITION BY series ORDER BY ds) AS x FROM known) GROUP BY 1""",
+    "known",
+)
+oracle(
+    "h8_ar1_band",
+    f"""SELECT series, ds, {r('v', 2)} AS yhat, {r('v - 1.96 * s', 2)} AS lower, {r('v + 1.96 * s', 2)} AS upper
+FROM (SELECT w.series, CAST(last + to_months(step) AS DATE) AS ds, v,
+  sigma * sqrt(list_sum(list_transform(range(0, step), j -> pow(m.b, 2 * j)))) AS s
+  FROM walk w LEFT JOIN ar1_spread m ON m.series = w.series WHERE step > 0)""",
+    "walk", "ar1_spread",
+)
+oracle(
+    "h9_direct_band",
+    f"""SELECT series, CAST(last + to_months(step) AS DATE) AS ds, step, {r('a + b * v', 2)} AS yhat,
+{r('a + b * v - 1.96 * s', 2)} AS lower, {r('a + b * v + 1.96 * s', 2)} AS upper FROM
+(SELECT k.series, CAST(h AS INTEGER) AS step, regr_intercept(z.y, k.y) AS a, regr_slope(z.y, k.y) AS b, {LINE_SIGMA.format(y='z.y', x='k.y')} AS s
+ FROM known k, range(1, 13) t(h) LEFT JOIN known z ON z.series = k.series AND z.ds = CAST(k.ds + to_months(CAST(h AS INTEGER)) AS DATE)
+ GROUP BY 1, 2) JOIN (SELECT series, max(ds) AS last, max_by(y, ds) AS v FROM known GROUP BY 1) USING (series)""",
+    "known",
+)
 oracle(
     "h9_direct_forecast",
     f"""SELECT series, CAST(last + to_months(step) AS DATE) AS ds, step, {r('a + b * v', 2)} AS yhat FROM
@@ -756,6 +825,32 @@ FROM (SELECT m.*, s.ds, a + b * datediff('month', first, s.ds) AS tr, coalesce(e
     "model_add", "season_add",
 )
 oracle("h16_persistence_forecast", "SELECT series, ds, yhat FROM flat", "flat")
+cte(
+    "revisions",
+    """SELECT series, ds, published_at, sum(part) OVER (PARTITION BY series, ds ORDER BY published_at) / 100.0 AS shipped
+FROM (SELECT seg AS series, CAST(date_trunc('month', od) AS DATE) AS ds, last_day(CAST(l_shipdate AS DATE)) AS published_at,
+        CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS part
+      FROM lineitem JOIN keyed ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)""",
+    "keyed",
+)
+# The publication wanted for each series, day and period is the newest one: an ASOF join finds it.
+oracle(
+    "h17_known_at",
+    f"""SELECT p.series, p.asof, p.ds, v.published_at, {r('v.shipped', 2)} AS shipped
+FROM (SELECT DISTINCT series, ds, asof FROM revisions,
+      (VALUES (DATE '1995-06-30'), (DATE '1997-01-15'), (DATE '1998-08-31')) d(asof)) p
+ASOF JOIN revisions v ON v.series = p.series AND v.ds = p.ds AND p.asof >= v.published_at""",
+    "revisions",
+)
+oracle(
+    "h17_asof_join",
+    f"""SELECT t.series, t.ds, t.y, t.origin, v.published_at, v.period, {r('v.shipped')} AS shipped
+FROM (SELECT *, last_day(ds) AS origin FROM mp) t
+ASOF LEFT JOIN (SELECT series, published_at, max(ds) AS period, max_by(shipped, ds) AS shipped FROM revisions GROUP BY 1, 2) v
+ON v.series = t.series AND t.origin > v.published_at""",
+    "mp", "revisions",
+)
+oracle("h17_cutoff_vintage", "SELECT series, ds, qty, rev, n_lines FROM dp WHERE day(ds) <= 20", "dp")
 oracle(
     "h17_vintage_curve",
     f"""SELECT series, cutoff, m AS ds, {', '.join(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -10,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelcast.functions import dates, scalars
 from panelcast.functions.spec import FeatureSpec, names, select_by_kind
 from panelcast.operators import (
-    align, boosted, evaluate, explain, forecast, linear, quality, scenarios, shape, structural, windows,
+    align, bands, boosted, evaluate, explain, foldfit, forecast, linear, quality, scenarios, shape, structural,
+    vintages, windows,
 )
 from panelcast.plans import forecast as forecast_plan, nowcast as nowcast_plan
 from panelcast.registry.common import (
     DRIVERS, KEYS, SHOCKS, known_target, macro, rounded, target, yardsticks,
 )
 from panelcast.session import cut_lineage, shared_dir
-from panelcast.sources import calendars, io, testdata as td
+from panelcast.sources import calendars, io, store, testdata as td
 from panelcast.streaming import rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +134,29 @@ def a10_write_report(spark, sf):
     return io.read_panel(spark, path, KEYS, "ds", ["y"], "csv")
 
 
+def _stored(spark, panel: DataFrame) -> tuple[DataFrame, str]:
+    name = f"stored_{uuid.uuid4().hex}"
+    return store.create_store(panel, name, KEYS, buckets=16, path=f"{shared_dir(spark)}/{name}"), name
+
+
+@query
+def a10_store_panel(spark, sf):
+    """The nation panel as a bucketed table with every second month missing; those are put in later, and
+    all of the last year once more, which changes nothing."""
+    panel = cut_lineage(td.monthly_wide_panel(spark, sf))
+    _, name = _stored(spark, panel.filter(F.month("ds") % 2 == 1))
+    store.replace_months(panel.filter(F.month("ds") % 2 == 0), name)
+    store.replace_months(panel.filter(F.col("ds") >= F.add_months(td.first_open_month(spark, sf), -12)), name)
+    return store.read_store(spark, name)
+
+
+@query
+def e1_lags_stored(spark, sf):
+    """Lags of the stored panel: its buckets take the place of the shuffle."""
+    stored, _ = _stored(spark, target(spark, sf))
+    return windows.lags(stored, KEYS, "y")
+
+
 # ---- projections, filters, scalar functions ------------------------------------------------
 
 @query
@@ -399,7 +424,7 @@ def d15_residual_histogram(spark, sf):
 
 @query
 def d16_split_counts(spark, sf):
-    return boosted.split_counts(_shared_boosted_ar(spark, sf)[0])
+    return boosted.split_counts(_boosted_ar(spark, sf)[0])
 
 
 # ---- windows -------------------------------------------------------------------------------
@@ -664,17 +689,6 @@ def _boosted_ar(spark, sf):
     return model, rows, specs
 
 
-FITTED: dict[tuple[str, str], tuple] = {}
-
-
-def _shared_boosted_ar(spark, sf):
-    """The fit of ``h7_boosted_forecast_fit``, made once a session for the queries that look into it."""
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in FITTED:
-        FITTED[at] = _boosted_ar(spark, sf)
-    return FITTED[at]
-
-
 @query
 def h7_boosted_forecast_fit(spark, sf):
     model, rows, _ = _boosted_ar(spark, sf)
@@ -688,18 +702,37 @@ def h8_recursive_forecast(spark, sf):
 
 
 @query
-def h8_recursive_ridge(spark, sf):
-    """Three lags and the season, through the general linear recursion."""
+def h8_ar1_band(spark, sf):
+    known = known_target(spark, sf)
+    model = linear.ar1_fit(known, KEYS, spread=True)
+    return rounded(bands.ar1_band(forecast.recursive_forecast_ar1(model, known, KEYS), model, KEYS), yhat=2, lower=2, upper=2)
+
+
+@query
+def h8_ridge_band(spark, sf):
+    """Three lags and the season: the band follows the shocks through all lags."""
+    model, rows, specs = _seasonal_ridge(spark, sf)
+    paths = forecast.recursive_forecast_linear(model, rows, KEYS, specs)
+    return rounded(bands.linear_band(paths, model, KEYS, specs), yhat=2, lower=2, upper=2)
+
+
+def _seasonal_ridge(spark, sf):
     specs = [FeatureSpec(x, "target_lag", "y", k) for x, k in zip(LAG_XS, (1, 2, 12))]
     specs += [FeatureSpec(n, "season") for n in ("month_sin", "month_cos")]
     rows = dates.cyclical(_lagged(spark, sf))
-    model = linear.fit_linear(rows, KEYS, "y", names(specs), 1.0, 0.0)
+    return linear.fit_linear(rows, KEYS, "y", names(specs), 1.0, 0.0), rows, specs
+
+
+@query
+def h8_recursive_ridge(spark, sf):
+    """Three lags and the season, through the general linear recursion."""
+    model, rows, specs = _seasonal_ridge(spark, sf)
     return rounded(forecast.recursive_forecast_linear(model, rows, KEYS, specs), yhat=2)
 
 
 @query
 def h8_recursive_boosted(spark, sf):
-    model, rows, specs = _shared_boosted_ar(spark, sf)
+    model, rows, specs = _boosted_ar(spark, sf)
     return rounded(boosted.recursive_forecast_boosted(model, rows, specs), yhat=2)
 
 
@@ -708,6 +741,11 @@ def h9_direct_forecast(spark, sf):
     return rounded(forecast.direct_forecast_ar1(known_target(spark, sf), KEYS), yhat=2)
 
 
+@query
+def h9_direct_band(spark, sf):
+    return rounded(forecast.direct_forecast_ar1(known_target(spark, sf), KEYS, level=0.95), yhat=2, lower=2, upper=2)
+
+
 @query
 def h9_direct_bridge(spark, sf):
     rows = _lagged(spark, sf)
@@ -739,6 +777,13 @@ def h10_piecewise_fit(spark, sf):
     return rounded(structural.piecewise_predict(model, KEYS), yhat=2, lower=2, upper=2, trend=2, seasonal=2)
 
 
+@query
+def h11_piecewise_band(spark, sf):
+    model = structural.piecewise_fit(known_target(spark, sf), KEYS)
+    rows = structural.piecewise_predict(model, KEYS, widen=True).filter("is_future")
+    return rounded(rows, yhat=2, lower=2, upper=2, trend=2, seasonal=2)
+
+
 @query
 def h11_structural_predict(spark, sf):
     model = structural.structural_fit(known_target(spark, sf), KEYS)
@@ -757,13 +802,13 @@ def h12_contributions(spark, sf):
 
 @query
 def h12_tree_contributions(spark, sf):
-    model, rows, _ = _shared_boosted_ar(spark, sf)
+    model, rows, _ = _boosted_ar(spark, sf)
     return rounded(explain.tree_contributions(model, rows)[0], phi=2)
 
 
 @query
 def h13_gain_importance(spark, sf):
-    return rounded(boosted.gain_importance(_shared_boosted_ar(spark, sf)[0]))
+    return rounded(boosted.gain_importance(_boosted_ar(spark, sf)[0]))
 
 
 @query
@@ -793,6 +838,36 @@ def h15_rolling_cv(spark, sf):
     return rounded(evaluate.error_metrics(_cv_predictions(spark, sf), [*KEYS, "fold"]))
 
 
+RIDGE_GRID = (0.01, 0.1, 1.0)
+
+
+def _moment_cv(spark, sf):
+    """Ridge on the last value, every fold and penalty from one table of moments."""
+    rows = windows.lags(known_target(spark, sf), KEYS, "y", [1])
+    return foldfit.fold_fits(rows, KEYS, "y", ["y_lag1"], RIDGE_GRID, 0.0)
+
+
+@query
+def h15_moment_cv(spark, sf):
+    fits = _moment_cv(spark, sf).withColumn("coef", F.col("coef")[0])
+    return rounded(fits.select("series", "fold", "alpha", "n", "n_test", "intercept", "coef", "sigma", "rmse", "status"), intercept=2, coef=6, sigma=2, rmse=2)
+
+
+@query
+def h15_alpha_choice(spark, sf):
+    return rounded(foldfit.choose_alpha(_moment_cv(spark, sf), KEYS), rmse=2)
+
+
+@query
+def h2_bridge_fit_cv(spark, sf):
+    """The full mixed-frequency design with its penalty chosen by fold error."""
+    rows, specs = _nowcast(spark, sf, known=True)
+    xs = names(specs)
+    known = windows.impute_edges(rows.filter("y is not null"), KEYS, xs, split=None)
+    fits = foldfit.fold_fits(known, KEYS, "y", xs, foldfit.ALPHAS, 0.5)
+    return rounded(linear.coefficient_table(foldfit.bridge_fit_cv(fits, KEYS), KEYS, xs))
+
+
 @query
 def h16_persistence_forecast(spark, sf):
     return forecast.persistence_forecast(known_target(spark, sf), KEYS)
@@ -803,6 +878,33 @@ def h17_vintage_curve(spark, sf):
     return rounded(align.vintage_curve(td.daily_indicator(spark, sf), KEYS, ["qty", "rev"]))
 
 
+#: Days at which the revised panel is looked at.
+KNOWN_ON = (dt.date(1995, 6, 30), dt.date(1997, 1, 15), dt.date(1998, 8, 31))
+
+
+@query
+def h17_known_at(spark, sf):
+    """Shipped value of each order month as published by three days."""
+    known = vintages.known_at(td.shipped_revisions(spark, sf), KEYS, KNOWN_ON, ["shipped"])
+    return rounded(known, shipped=2)
+
+
+@query
+def h17_asof_join(spark, sf):
+    """Each target month with the newest order month, and its value, published before its last day."""
+    target = td.monthly_target(spark, sf).withColumn("origin", F.last_day("ds"))
+    news = td.shipped_revisions(spark, sf).withColumnRenamed("ds", "period")
+    return rounded(vintages.asof_join(
+        target, news, KEYS, "origin", "published_at", ["period", "shipped"], strict=True, told_at="published_at"
+    ))
+
+
+@query
+def h17_cutoff_vintage(spark, sf):
+    """The cut-off day as the special case of a vintage: rows public by the 20th of their month."""
+    return vintages.monthly_known_at(td.daily_indicator(spark, sf), KEYS, 20, ["qty", "rev", "n_lines"])
+
+
 @query
 def h18_nowcast_features(spark, sf):
     rows, specs = _nowcast(spark, sf)

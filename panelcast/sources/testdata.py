@@ -8,7 +8,7 @@ split by AQE's skew join; a segment that does is collapsed by the map-side combi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelcast.functions.dates import month_floor, week_label
 
@@ -101,6 +101,20 @@ def monthly_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shipped_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RP: value of each month's orders shipped so far, published at the end of every month in which more
+    of them was shipped: a monthly series whose values are revised for some months."""
+    orders = _orders_by_key(spark, sf_dir, "c_mktsegment").select(
+        "o_orderkey", "series", month_floor(F.col("o_orderdate").cast("date")).alias("ds")
+    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_extendedprice")
+    published = F.last_day(F.col("l_shipdate").cast("date")).alias("published_at")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    parts = rows.groupBy("series", "ds", published).agg(F.sum(_hundredths("l_extendedprice")).alias("_part"))
+    so_far = F.sum("_part").over(Window.partitionBy("series", "ds").orderBy("published_at"))
+    return parts.select("series", "ds", "published_at", (so_far / F.lit(100.0)).alias("shipped"))
+
+
 def macro_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and drivers side by side, one row per series and month."""
     from panelcast.operators.shape import assemble_wide

@@ -267,3 +267,76 @@ def test_tree_contributions_add_up_and_match_all_coalitions(spark, trees):
         assert np.allclose(explain.shapley_values(z[None, :], few)[0], brute_shapley(z, few))
     score = explain.global_attribution(long, ["k"])
     assert score.count() == 2 * len(xs)
+
+
+def random_leaves(rng, depth, trees, features):
+    """Leaves of full random trees: cut at random places, features drawn again and again."""
+    out = []
+    for _ in range(trees):
+        def grow(level, path):
+            if level == depth:
+                feats = list(path)
+                low, high, share = (np.array([path[f][i] for f in feats]) for i in range(3))
+                out.append(explain._Leaf(float(rng.normal()), feats, low, high, share))
+                return
+            f = int(rng.integers(features))
+            low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+            cut = float(rng.normal()) if not (low < 0 < high) else 0.1 * float(rng.normal())
+            cut = min(max(cut, low), high)
+            kept = float(rng.uniform(0.02, 0.98))
+            grow(level + 1, {**path, f: (low, cut, share * kept)})
+            grow(level + 1, {**path, f: (cut, high, share * (1 - kept))})
+        grow(0, {})
+    return out
+
+
+def table_shapley(x, leaves):
+    """The same by a table of all inside-or-not patterns of a leaf, for every row apart."""
+    phi = np.zeros(x.shape)
+    for leaf in leaves:
+        d = len(leaf.features)
+        weights = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+        inside = ((x[:, leaf.features] > leaf.low) & (x[:, leaf.features] <= leaf.high)).astype(float)
+        for pattern in {tuple(p) for p in inside}:
+            rows = (inside == pattern).all(1)
+            for i, f in enumerate(leaf.features):
+                poly = np.ones(1)
+                for j in range(d):
+                    if j != i:
+                        poly = np.convolve(poly, [leaf.share[j], pattern[j]])
+                phi[rows, f] += leaf.value * (pattern[i] - leaf.share[i]) * (poly @ weights)
+    return phi
+
+
+def test_path_attributions_equal_coalitions_and_tables():
+    rng = np.random.default_rng(1)
+    leaves = random_leaves(rng, 4, 3, 6)
+    x = rng.normal(size=(7, 6))
+    got = explain.shapley_values(x, leaves)
+    for row, phi in zip(x, got):
+        assert np.allclose(phi, brute_shapley(row, leaves))
+    leaves = random_leaves(rng, 8, 2, 12)
+    x = rng.normal(size=(40, 12))
+    assert np.allclose(explain.shapley_values(x, leaves), table_shapley(x, leaves), atol=1e-12)
+    # Some leaves and some rows at a time.
+    assert np.allclose(explain.shapley_values(x, leaves, cells=100), table_shapley(x, leaves), atol=1e-12)
+
+
+def test_deep_paths_add_up_in_flat_memory():
+    import tracemalloc
+
+    peaks = {}
+    for depth in (6, 16):
+        rng = np.random.default_rng(depth)
+        leaves = [leaf for leaf in random_leaves(rng, depth, 1, 40) if len(leaf.features) >= depth - 3][:400]
+        x = rng.normal(size=(600, 40))
+        tracemalloc.start()
+        phi = explain.shapley_values(x, leaves, cells=1 << 16)
+        peaks[depth] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        worth = np.zeros(len(x))
+        for leaf in leaves:
+            z = x[:, leaf.features]
+            worth += leaf.value * (((z > leaf.low) & (z <= leaf.high)).all(1) - np.prod(leaf.share))
+        assert np.allclose(phi.sum(1), worth, atol=1e-9)
+    assert peaks[16] < 2 * peaks[6]
