@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 QUARTILES = (0.25, 0.5, 0.75)
-_ACCURACY = 10_000
+#: Bins of an interval in one round of counting, and rounds after which something is wrong.
+BINS = 512
+MAX_ROUNDS = 200
 
 
 def _missing(df: DataFrame, col: str) -> Column:
@@ -59,62 +62,104 @@ def describe_panel(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> D
     return out.select(*keys, "column", *order)
 
 
-def _whole_table_quartiles(long: DataFrame) -> DataFrame:
-    """Exact quartiles of columns of any length.
+def _text(value: float) -> str:
+    """A double as SQL text, digit for digit."""
+    return f"CAST('{value!r}' AS DOUBLE)"
+
+
+def _bin(low: float, high: float, by_size: bool) -> str:
+    """SQL text for the bin of a value of low..high: even steps of the value, or of the logarithm of its
+    size for values that span many magnitudes.  Both never fall with the value, so bins are in order."""
+    if by_size:
+        unit = max(abs(low), abs(high)) * 2.0**-60 or 5e-324
 
-    A mergeable sketch brackets each quartile (its rank error is at most n / accuracy).  Values
-    inside a bracket are counted one by one, all others only as one cell per gap between brackets,
-    with its ends, so the ranks come from a table of about 6 / accuracy of the rows, built by
-    map-side combine.  A rank deeper inside a gap than its ends would be a missed bracket and
-    raises an error.
+        def place(v: str) -> str:
+            return f"signum({v}) * ln(1 + least(abs({v}) / {_text(unit)}, 1e300D))"
+    else:
+        # Halves, so that the span of two large numbers of different sign does not overflow.
+        def place(v: str) -> str:
+            return f"({v}) / 2"
+    start, end = place(_text(low)), place(_text(high))
+    # Ends too near each other for a step are one bin; the next round takes the other kind of steps.
+    share = f"coalesce(try_divide({place('value')} - {start}, {end} - {start}), 0D)"
+    return f"CAST(least(floor({share} * {BINS}), {BINS - 1}) AS INT)"
+
+
+def ranked_values(long: DataFrame, ranks: Mapping[str, Sequence[int]], ends: Mapping[str, tuple[float, float]]) -> dict[tuple[str, int], float]:
+    """The values at given ranks (0 is the smallest) of the finite values of each column of (column, value).
+
+    Every rank has an interval that holds it, at first the column's ends.  A round counts the values in
+    BINS bins of each interval by one aggregate with map-side combine; the bin that holds the rank,
+    from its smallest to its largest value, is the next interval, until that is a single value.  A task
+    sees sums only, however often a value occurs; the driver gets BINS sums for each open interval.
     """
-    eps = 2.0 / _ACCURACY
-    n = len(QUARTILES)
-    edges = [q - eps for q in QUARTILES] + [q + eps for q in QUARTILES]
+    found: dict[tuple[str, int], float] = {}
+    open_ = {(c, r): (*ends[c], 0) for c, some in ranks.items() for r in some}
+    for turn in range(MAX_ROUNDS):
+        found.update({at: low for at, (low, high, _) in open_.items() if low == high})
+        open_ = {at: x for at, x in open_.items() if at not in found}
+        if not open_:
+            return found
+        intervals = list(dict.fromkeys((c, low, high) for (c, _), (low, high, _) in open_.items()))
+        tests = []
+        for i, (c, low, high) in enumerate(intervals):
+            name = c.replace("\\", "\\\\").replace("'", "\\'")
+            holds = f"column = '{name}' AND value BETWEEN {_text(low)} AND {_text(high)}"
+            tests.append((f"WHEN {holds} THEN {i}", f"WHEN {holds} THEN {_bin(low, high, turn % 2 == 1)}"))
+        which, place = (f"CASE {' '.join(t[k] for t in tests)} END" for k in (0, 1))
+        sums = (
+            long.selectExpr(f"{which} AS span", f"{place} AS bin", "value").filter("span IS NOT NULL")
+            .groupBy("span", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+            .orderBy("span", "bin").collect()
+        )
+        bins: dict[int, list] = {}
+        for r in sums:
+            bins.setdefault(r["span"], []).append(r)
+        number = {x: i for i, x in enumerate(intervals)}
+        for (c, rank), (low, high, below) in list(open_.items()):
+            for r in bins[number[c, low, high]]:
+                if rank < below + r["n"]:
+                    break
+                below += r["n"]
+            # Adding zero makes one of the two zeros.
+            open_[c, rank] = (r["low"] + 0.0, r["high"] + 0.0, below)
+    raise RuntimeError("ranks are not alone after the last round")
+
+
+def _whole_table_quartiles(long: DataFrame) -> DataFrame:
+    """Exact quartiles of columns of any length, by counted ranges; NaN counts as the largest value."""
+    finite = (F.abs("value") < float("inf")) & ~F.isnan("value")
     stats = long.groupBy("column").agg(
-        *_moments("value"), F.percentile_approx("value", edges, _ACCURACY).alias("_edges")
-    ).withColumns({"_low": F.slice("_edges", 1, n), "_high": F.slice("_edges", n + 1, n)}).drop("_edges")
-    # One row per described column: the broadcast is bounded by the width of the table.
-    cells = long.filter(F.col("value").isNotNull()).join(
-        F.broadcast(stats.select("column", F.col("count").alias("_n"), "_low", "_high")), "column"
-    )
-    inside = reduce(
-        lambda a, b: a | b,
-        [F.col("value").between(F.col("_low")[i], F.col("_high")[i]) for i in range(len(QUARTILES))],
+        *_moments("value"), F.count(F.when(F.col("value") == float("-inf"), 1)).alias("_lowest"),
+        F.count(F.when(finite, 1)).alias("_finite"), F.count(F.when(F.isnan("value"), 1)).alias("_nan"),
+        F.min(F.when(finite, F.col("value"))).alias("_from"), F.max(F.when(finite, F.col("value"))).alias("_to"),
+    ).collect()
+    places = {r["column"]: [(r["count"] - 1) * q for q in QUARTILES] for r in stats if r["count"]}
+    wanted, known = {}, {}
+    for r in stats:
+        for rank in {int(f(x)) for x in places.get(r["column"], ()) for f in (math.floor, math.ceil)}:
+            inner = rank - r["_lowest"]
+            if 0 <= inner < r["_finite"]:
+                wanted.setdefault(r["column"], []).append(inner)
+            else:
+                infinite = r["count"] - r["_nan"]
+                known[r["column"], rank] = -math.inf if inner < 0 else math.inf if rank < infinite else math.nan
+    ends = {r["column"]: (r["_from"] + 0.0, r["_to"] + 0.0) for r in stats if r["_finite"]}
+    lowest = {r["column"]: r["_lowest"] for r in stats}
+    known.update({(c, r + lowest[c]): v for (c, r), v in ranked_values(long.filter(finite), wanted, ends).items()})
+    rows = []
+    for r in stats:
+        quartiles = []
+        for x in places.get(r["column"], [None] * len(QUARTILES)):
+            if x is None:
+                quartiles.append(None)
+                continue
+            below, above = known[r["column"], math.floor(x)], known[r["column"], math.ceil(x)]
+            quartiles.append(below if below == above else below + (above - below) * (x - math.floor(x)))
+        rows.append((r["column"], r["count"], r["mean"], r["std"], r["min"], r["max"], *quartiles))
+    return long.sparkSession.createDataFrame(
+        rows, "column string, count long, mean double, std double, min double, max double, p25 double, p50 double, p75 double"
     )
-    gap_end = F.coalesce(
-        *[F.when(F.col("value") < F.col("_low")[i], F.col("_low")[i]) for i in range(len(QUARTILES))],
-        F.lit(float("inf")),
-    )
-    counts = cells.groupBy(
-        "column",
-        F.when(inside, F.col("value")).otherwise(gap_end).alias("_at"),
-        inside.alias("_exact"),
-    ).agg(
-        F.count(F.lit(1)).alias("_rows"), F.max("_n").alias("_n"),
-        F.min("value").alias("_first"), F.max("value").alias("_last"),
-    )
-    order = Window.partitionBy("column").orderBy("_at", "_exact")
-    upto = F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_rows"))
-
-    def at_rank(rank: Column) -> Column:
-        value = (
-            F.when(F.col("_exact") | (rank == F.col("_from")), F.col("_first"))
-            .when(rank == F.col("_upto") - 1, F.col("_last"))
-            .otherwise(F.raise_error(F.lit("a quartile lies outside its bracket")).cast("double"))
-        )
-        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), value))
-
-    exprs = []
-    for q in QUARTILES:
-        place = (F.col("_n") - 1) * F.lit(q)
-        low, high = F.floor(place), F.ceil(place)
-        below, above = at_rank(low), at_rank(high)
-        share = F.max(place - low)
-        exprs.append((below + (above - below) * share).alias(f"p{int(q * 100)}"))
-    quartiles = ranked.groupBy("column").agg(*exprs)
-    return stats.drop("_low", "_high").join(F.broadcast(quartiles), "column", "left")
 
 
 def quality_verdict(

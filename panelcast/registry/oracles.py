@@ -762,7 +762,7 @@ oracle(
     "h8_ar1_band",
     f"""SELECT series, ds, {r('v', 2)} AS yhat, {r('v - 1.96 * s', 2)} AS lower, {r('v + 1.96 * s', 2)} AS upper
 FROM (SELECT w.series, CAST(last + to_months(step) AS DATE) AS ds, v,
-  sigma * sqrt(list_sum(list_transform(range(0, step), j -> pow(m.b, 2 * j)))) AS s
+  sigma * sqrt(list_sum(list_transform(range(0, step), lambda j: pow(m.b, 2 * j)))) AS s
   FROM walk w LEFT JOIN ar1_spread m ON m.series = w.series WHERE step > 0)""",
     "walk", "ar1_spread",
 )
@@ -836,10 +836,10 @@ FROM (SELECT seg AS series, CAST(date_trunc('month', od) AS DATE) AS ds, last_da
 # The publication wanted for each series, day and period is the newest one: an ASOF join finds it.
 oracle(
     "h17_known_at",
-    f"""SELECT p.series, p.asof, p.ds, v.published_at, {r('v.shipped', 2)} AS shipped
-FROM (SELECT DISTINCT series, ds, asof FROM revisions,
-      (VALUES (DATE '1995-06-30'), (DATE '1997-01-15'), (DATE '1998-08-31')) d(asof)) p
-ASOF JOIN revisions v ON v.series = p.series AND v.ds = p.ds AND p.asof >= v.published_at""",
+    f"""SELECT p.series, p.known_on, p.ds, v.published_at, {r('v.shipped', 2)} AS shipped
+FROM (SELECT DISTINCT series, ds, known_on FROM revisions,
+      (VALUES (DATE '1995-06-30'), (DATE '1997-01-15'), (DATE '1998-08-31')) d(known_on)) p
+ASOF JOIN revisions v ON v.series = p.series AND v.ds = p.ds AND p.known_on >= v.published_at""",
     "revisions",
 )
 oracle(
@@ -879,6 +879,14 @@ oracle(
     f"""SELECT event_type, CAST(ts AS DATE) AS ds, count(value) AS n, {r('sum(value)')} AS total,
 {r('max_by(value, ts)')} AS last, {r('avg(value)', 6)} AS mean, {r('stddev_samp(value)')} AS std FROM events GROUP BY event_type, CAST(ts AS DATE)""",
 )
+EARLY = "FILTER (WHERE day(ts) <= 20)"
+oracle(
+    "s1_month_stream",
+    f"""SELECT event_type, {MONTH.format('ts')} AS ds, {r(f'avg(value) {EARLY}', 6)} AS value_mean,
+{r(f'stddev_samp(value) {EARLY}')} AS value_std,
+{r("(max({'t': date_trunc('second', ts), 'v': value}) FILTER (WHERE day(ts) <= 20 AND value IS NOT NULL)).v")} AS value_last,
+count(*) FILTER (WHERE day(ts) > 20) AS n_late FROM events GROUP BY event_type, {MONTH.format('ts')}""",
+)
 oracle(
     "s2_late_rows",
     f"""SELECT event_type, {MONTH.format('ts')} AS ds, count(*) FILTER (WHERE day(ts) <= 20) AS n_in_time,
@@ -893,6 +901,24 @@ row_number() OVER (PARTITION BY series, {MONTH.format('ds')} ORDER BY ds DESC) A
     "dp",
 )
 WEIGHT = "(1 - 0.02::DOUBLE * j + 0.0001::DOUBLE * j * j)"
+cte(
+    "almon_rows",
+    """SELECT series, ds, max(y) AS y, sum(qty) AS p0, sum(j / 10.0::DOUBLE * qty) AS p1 FROM (
+  SELECT t.series, t.ds, t.y, d.qty, row_number() OVER (PARTITION BY t.series, t.ds ORDER BY d.ds DESC) AS j
+  FROM mp_known t JOIN dp d ON d.series = t.series AND d.ds <= t.ds + 19 AND d.qty IS NOT NULL) WHERE j <= 10
+GROUP BY 1, 2 HAVING count(*) = 10""",
+    "mp_known", "dp",
+)
+oracle(
+    "x1_almon_fit",
+    f"""SELECT series, n, {r('my - b0 * m0 - b1 * m1', 0)} AS intercept, {r('b0', 1)} AS theta0, {r('b1', 1)} AS theta1,
+{r('sqrt(greatest(0, vy - b0 * c0 - b1 * c1))', 0)} AS sigma, 'ok' AS status
+FROM (SELECT *, (c0 * v1 - c1 * v01) / (v0 * v1 - v01 * v01) AS b0, (c1 * v0 - c0 * v01) / (v0 * v1 - v01 * v01) AS b1
+  FROM (SELECT series, count(*) AS n, avg(y) AS my, avg(p0) AS m0, avg(p1) AS m1, var_pop(y) AS vy, var_pop(p0) AS v0,
+    var_pop(p1) AS v1, covar_pop(p0, p1) AS v01, covar_pop(p0, y) AS c0, covar_pop(p1, y) AS c1
+    FROM almon_rows GROUP BY 1))""",
+    "almon_rows",
+)
 oracle(
     "x1_almon_mean",
     f"SELECT series, m AS ds, {r(f'sum(qty * {WEIGHT}) / sum({WEIGHT})')} AS qty_almon FROM recent GROUP BY 1, 2",

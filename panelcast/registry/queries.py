@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelcast.functions import dates, scalars
 from panelcast.functions.spec import FeatureSpec, names, select_by_kind
 from panelcast.operators import (
-    align, bands, boosted, evaluate, explain, foldfit, forecast, linear, quality, scenarios, shape, structural,
+    align, bands, bends, boosted, evaluate, explain, foldfit, forecast, linear, midas, quality, scenarios, shape, structural,
     vintages, windows,
 )
 from panelcast.plans import forecast as forecast_plan, nowcast as nowcast_plan
@@ -20,7 +20,7 @@ from panelcast.registry.common import (
 )
 from panelcast.session import cut_lineage, shared_dir
 from panelcast.sources import calendars, io, store, testdata as td
-from panelcast.streaming import rollup
+from panelcast.streaming import months, rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -730,6 +730,16 @@ def h8_recursive_ridge(spark, sf):
     return rounded(forecast.recursive_forecast_linear(model, rows, KEYS, specs), yhat=2)
 
 
+@query
+def h8_recursive_dummies(spark, sf):
+    """The recursion with twelve month dummies in place of waves, each step with its own month."""
+    known = known_target(spark, sf)
+    rows = windows.ar_features(known, KEYS, "y", [], ks=(1, 2), seasonal="categorical")
+    specs = [s for s in windows.ar_feature_specs("y", [], ks=(1, 2), seasonal="categorical") if s.name.startswith(("month_", "y_lag"))]
+    model = linear.fit_linear(rows, KEYS, "y", names(specs), 0.1, 0.0)
+    return rounded(forecast.recursive_forecast_linear(model, rows, KEYS, specs), yhat=2)
+
+
 @query
 def h8_recursive_boosted(spark, sf):
     model, rows, specs = _boosted_ar(spark, sf)
@@ -777,6 +787,18 @@ def h10_piecewise_fit(spark, sf):
     return rounded(structural.piecewise_predict(model, KEYS), yhat=2, lower=2, upper=2, trend=2, seasonal=2)
 
 
+@query
+def h10_bent_trend(spark, sf):
+    model = bends.bent_trend_fit(known_target(spark, sf), KEYS)
+    return rounded(bends.bent_trend_predict(model, KEYS), yhat=2, lower=2, upper=2, trend=2, seasonal=2)
+
+
+@query
+def h10_change_dates(spark, sf):
+    model = bends.bent_trend_fit(known_target(spark, sf), KEYS)
+    return rounded(bends.change_dates(model, KEYS), slope_before=2, slope_after=2)
+
+
 @query
 def h11_piecewise_band(spark, sf):
     model = structural.piecewise_fit(known_target(spark, sf), KEYS)
@@ -885,7 +907,7 @@ KNOWN_ON = (dt.date(1995, 6, 30), dt.date(1997, 1, 15), dt.date(1998, 8, 31))
 @query
 def h17_known_at(spark, sf):
     """Shipped value of each order month as published by three days."""
-    known = vintages.known_at(td.shipped_revisions(spark, sf), KEYS, KNOWN_ON, ["shipped"])
+    known = vintages.known_at(td.shipped_revisions(spark, sf), KEYS, KNOWN_ON, ["shipped"], name="known_on")
     return rounded(known, shipped=2)
 
 
@@ -951,6 +973,15 @@ def s1_stream_rollup(spark, sf):
     return rounded(rollup.run_to_table(rolled, ["event_type"]), mean=6)
 
 
+@query
+def s1_month_stream(spark, sf):
+    """The feed's months as stream state: values up to the 20th, and how many rows came after it."""
+    like = td.table(spark, sf, "events")
+    feed = rollup.read_feed(spark, f"{sf}/event[s].parquet", like).select("event_type", "ts", "value")
+    stream = months.month_feed(feed, ["event_type"], ["value"], 20, "ts", "30 days")
+    return rounded(months.run_months(stream, ["event_type"]).drop("is_final"), value_mean=6)
+
+
 @query
 def s2_late_rows(spark, sf):
     return rollup.late_rows(td.table(spark, sf, "events"), ["event_type"], 20)
@@ -963,6 +994,23 @@ def x1_almon_mean(spark, sf):
     return rounded(align.almon_mean(td.daily_indicator(spark, sf), KEYS, "qty", (1.0, -0.02, 0.0001), 20))
 
 
+@query
+def x1_almon_fit(spark, sf):
+    """Order value on the newest ten days of shipped quantity, weights a line over their recency."""
+    y = td.known_until(td.monthly_target(spark, sf), td.first_open_month(spark, sf))
+    model = midas.almon_fit(y.filter("y is not null"), td.daily_indicator(spark, sf), KEYS, "y", "qty", 10, 1, (), 20)
+    theta = [F.col("theta")[p].alias(f"theta{p}") for p in (0, 1)]
+    return rounded(model.select("series", "n", "intercept", *theta, "sigma", "status"), intercept=0, theta0=1, theta1=1, sigma=0)
+
+
+@query
+def x2_umidas_orders(spark, sf):
+    """How many of the newest days to use, by BIC; lags go across month ends."""
+    y = td.known_until(td.monthly_target(spark, sf), td.first_open_month(spark, sf))
+    out = midas.umidas_orders(y.filter("y is not null"), td.daily_indicator(spark, sf), KEYS, "y", "qty", 10, 20)
+    return rounded(out.drop("coef"), intercept=0, sigma=0, bic=4)
+
+
 @query
 def x2_umidas_features(spark, sf):
     return rounded(align.umidas_features(td.daily_indicator(spark, sf), KEYS, "rev", 5, 20), **{f"rev_d{j}": 4 for j in range(1, 6)})

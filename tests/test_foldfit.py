@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators import evaluate, foldfit, linear
-from tests.helpers import month, noisy_panel, panel
+from helpers import month, noisy_panel, panel
 
 XS = ["x1", "x2"]
 ALPHAS = (0.02, 0.3, 1.0)

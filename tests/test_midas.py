@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators import linear, midas
-from tests.helpers import month
+from helpers import month
 
 K = 20
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import align
 from panelcast.streaming import months, rollup
-from tests.helpers import mixed_frequency, pandas_of, to_spark
+from helpers import mixed_frequency, pandas_of, to_spark
 
 COLS = ["load", "load_ind"]
 

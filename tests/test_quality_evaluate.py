@@ -35,6 +35,49 @@ def test_whole_table_quartiles_are_exact_beyond_the_sketch(spark):
         assert out.loc[c, "count"] == 60_000 and out.loc[c, "max"] == x.max()
 
 
+def test_ranks_of_odd_values(spark):
+    rng = np.random.default_rng(6)
+    columns = {
+        "hot": np.r_[np.full(3000, 7.25), rng.normal(7.25, 1e-9, 40)],
+        "wide": np.exp(rng.uniform(-600, 600, 3040)) * rng.choice([-1, 1], 3040),
+        "ends": np.r_[np.full(900, -np.inf), rng.normal(size=240), np.full(1900, np.inf)],
+        "tiny": rng.integers(-3, 4, 3040) * 5e-324,
+        "near": 1.0 + rng.integers(0, 9, 3040) * 2.0**-52,
+        "o'clock": rng.choice([-1.7e308, -1.0, 1.0, 1.7e308], 3040),
+        "same": np.full(3040, 3.0),
+    }
+    df = spark.createDataFrame(pd.DataFrame(columns)).repartition(5)
+    df = df.withColumns({"nans": F.when(F.col("same") == 3, F.when(F.rand(1) < 0.4, float("nan")).otherwise(1.0)), "none": F.lit(None).cast("double")})
+    out = pandas_of(quality.describe_panel(df, [], df.columns), "column").set_index("column")
+    for c, x in columns.items():
+        x = np.sort(x)
+        for q in (0.25, 0.5, 0.75):
+            at = (len(x) - 1) * q
+            low, high = x[math.floor(at)], x[math.ceil(at)]
+            want = low if low == high else low + (high - low) * (at - math.floor(at))
+            assert out.loc[c, f"p{int(q * 100)}"] == want, (c, q)
+    assert out.loc["nans", "p25"] == 1.0 and np.isnan(out.loc["nans", "p75"])
+    assert out.loc["none", "count"] == 0 and pd.isna(out.loc["none", "p50"])
+
+
+def test_no_task_ranks_the_rows_of_one_value(spark, tmp_path):
+    """What reaches the tasks behind a shuffle is sums of bins: far below a hundredth of the rows."""
+    rows = 2_000_000
+    df = spark.range(0, rows, 1, 8).select(F.when(F.col("id") % 1000 == 0, F.rand(3)).otherwise(0.5).alias("v"))
+    sc = spark.sparkContext
+
+    def read_by_stage():
+        none = sc._gateway.new_array(sc._jvm.double, 0)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleReadRecords() for i in range(stages.size())}
+
+    before = read_by_stage()
+    out = quality.describe_panel(df, [], ["v"]).first()
+    assert out["p25"] == out["p50"] == out["p75"] == 0.5
+    read = [n for stage, n in read_by_stage().items() if stage not in before]
+    assert read and max(read) < rows // 100
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 10, 101])
 def test_whole_table_quartiles_of_short_columns(spark, n):
     x = np.random.default_rng(n).normal(size=n)

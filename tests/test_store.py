@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import align, windows
 from panelcast.sources import store
-from tests.helpers import mixed_frequency, noisy_panel, to_spark
+from helpers import mixed_frequency, noisy_panel, to_spark
 
 
 def shuffles(df) -> int:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators import align, vintages
-from tests.helpers import mixed_frequency, to_spark
+from helpers import mixed_frequency, to_spark
 
 DAY = dt.date(2024, 1, 1)
 
