@@ -2,10 +2,11 @@
 
 A sample of the documents proposes frequent phrases.  The full pass counts, in one go, every phrase
 both of whose shorter parts (without its last, without its first word) are proposed: the proposed
-phrases and their negative border, as far as it occurs.  If a phrase of the border turns out frequent
-its extensions were not counted; it is added, and a further pass counts what that makes countable and
-no pass before has counted, until nothing is added.  Phrases and counts are plain rows; tasks add up
-their own texts' counts first and Spark sums them.
+phrases and their negative border, as far as it occurs.  If phrases of the border turn out
+frequent their extensions were not counted; they are added, and a further pass counts what that makes
+countable and the first did not count.  A phrase that it counts passes as a part of longer ones without
+a look at its count, so this pass closes the set: see ``frequent_phrases``.  Phrases and counts are plain
+rows; tasks add up their own texts' counts first and Spark sums them.
 
 Tasks ask whether a phrase is proposed in a bit filter of a fixed size.  A filter errs on one side
 only: it may count phrases beyond the border, never leave one out.
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -122,7 +124,8 @@ def countable(words: Words, now: np.ndarray | None, before: np.ndarray | None, l
 
     A phrase is countable under a filter if it holds both its parts and they are countable; without a
     filter, or of more than ``known`` words, parts pass unasked.  Counted is what ``now`` makes countable and ``before`` did
-    not.  Single words are always countable, so they are counted where ``before`` is missing.
+    not; what is newly counted also passes as a part.  Single words are always countable, so they are
+    counted where ``before`` is missing.
     """
     if not len(words.number):
         return
@@ -135,6 +138,8 @@ def countable(words: Words, now: np.ndarray | None, before: np.ndarray | None, l
         if length > 1:
             asked = now is not None and length - 1 <= known
             holds = _holds(now, hashes) if asked else np.ones(len(hashes), bool)
+            if before is not None:
+                holds |= ~old
             was = old & _holds(before, hashes) if before is not None else np.zeros(len(hashes), bool)
             # The phrases at a place and at the next one are the parts of the longer one that begins there.
             held = holds[code]
@@ -205,13 +210,14 @@ def _count(
                     (words.phrases(first[i : i + 65536], length), count[i : i + 65536]) for i in range(0, len(first), 65536)
                 ]
                 for phrase, n in parts:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(lang, len(n)), phrase, pa.array(n.astype(np.int64))], ["lang", "phrase", "f"]
-                    )
+                    # One key column makes a shorter row; no phrase holds a line feed.
+                    both = pc.binary_join_element_wise(phrase, pa.scalar(lang), "\n")
+                    yield pa.RecordBatch.from_arrays([both, pa.array(n.astype(np.int64))], ["both", "f"])
                 parts = []
 
-    counted = texts.mapInArrow(run, "lang string, phrase string, f long")
-    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    counted = texts.mapInArrow(run, "both string, f long").groupBy("both").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("both", "\n", 1)
+    return counted.select(F.substr("both", F.length(phrase) + 2).alias("lang"), phrase.alias("phrase"), "f")
 
 
 def _filter(phrases: DataFrame) -> np.ndarray:
@@ -262,20 +268,22 @@ def n_words(phrase: str = "phrase") -> Column:
 
 def frequent_phrases(df: DataFrame, support: int = SUPPORT, sample: int = SAMPLE) -> DataFrame:
     """(lang, phrase, f) of all phrases of one to five words with f >= support, and of the empty phrase,
-    whose f is the number of words of the language; counts are exact."""
+    whose f is the number of words of the language; counts are exact.
+
+    The parts of a frequent phrase are frequent.  Those that the first pass counted are proposed, or
+    have failed and been added; those that it did not count are counted by the second pass, shorter
+    ones first, and pass there.  So the second pass counts every frequent phrase that the first did not.
+    """
     texts = _texts(df)
     proposed = _propose(df, support, sample)
-    now, before = _filter(proposed), None
-    found, known = None, proposed
-    while True:
-        got = settle(_count(texts, now, before).filter((F.col("f") >= support) | (F.col("phrase") == "")))
-        found = got if found is None else found.unionByName(got)
-        missed = got.filter((F.col("phrase") != "") & (n_words() < LONGEST)).select("lang", "phrase")
-        failed = settle(missed.join(known, ["lang", "phrase"], "left_anti"))
-        if failed.isEmpty():
-            return found
-        known = known.unionByName(failed)
-        now, before = now | _filter(failed), now
+    now = _filter(proposed)
+    enough = (F.col("f") >= support) | (F.col("phrase") == "")
+    found = settle(_count(texts, now).filter(enough))
+    border = found.filter((F.col("phrase") != "") & (n_words() < LONGEST)).select("lang", "phrase")
+    failed = settle(border.join(proposed, ["lang", "phrase"], "left_anti"))
+    if failed.isEmpty():
+        return found
+    return found.unionByName(settle(_count(texts, now | _filter(failed), now).filter(enough)))
 
 
 def collocations(df: DataFrame, support: int = SUPPORT, top: int = TOP, sample: int = SAMPLE) -> DataFrame:
