@@ -14,8 +14,9 @@ SHARDS = 40
 PROBES = 256
 #: How far a boundary may be from its place, as a share of a shard.
 TOLERANCE = 0.001
-#: Bytes that one task sorts; a shard has as many pieces as it needs.
+#: Bytes that one task should sort, and pieces that a shard is cut into for it at most.
 PIECE_BYTES = 64 << 20
+MAX_PIECES = 25
 ROW_BYTES = 16
 #: A row's sort key is four numbers: the halves of its key, a hash of its text, and its place in the
 #: written table, so that even a key or a row that fills a third of the table can be cut anywhere.
@@ -144,17 +145,18 @@ def shard_by_bytes(
     """df with ``shard`` (0 to shards - 1) and ``slot`` (its place there, without gaps from 0).
 
     Shards are ranges of the sort key whose bytes (text in UTF-8 plus 16 a row) differ by the
-    tolerance, or by a row's size where that is more.  A large shard is dealt into pieces by a hash,
-    so that no task sorts a whole one; slots follow piece and key.  Null texts have no bytes, null
-    keys come first, equal keys and repeated rows are cut like any others.  Input columns named shard
-    or slot are replaced.
+    tolerance, or by a row's size where that is more.  A large shard is sorted in pieces, which are
+    ranges of the key as well, found by the same probes; slots follow the key whatever the pieces.
+    Null texts have no bytes, null keys come first, equal keys and repeated rows are cut like any
+    others.  Input columns named shard or slot are replaced.
     """
     rows = keyed(df, key, text)
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    pieces = max(1, ceil(total / (shards * piece_bytes)))
+    pieces = min(MAX_PIECES, max(1, ceil(total / (shards * piece_bytes))))
+    bounds = splitters(rows, shards * pieces, tolerance / pieces if pieces > 1 else tolerance)
+    cuts = bounds[pieces - 1 :: pieces]
     placed = rows.withColumns({
-        "shard": F.expr(shard_of(splitters(rows, shards, tolerance))).cast("int"),
-        "piece": F.pmod(F.xxhash64("d2", "d3"), F.lit(pieces)).cast("int"),
+        "shard": F.expr(shard_of(cuts)).cast("int"), "piece": F.expr(shard_of(bounds)).cast("int"),
     })
     counts = placed.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("piece")
