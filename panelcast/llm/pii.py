@@ -72,17 +72,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+#: Runs of a word up to which its shape tells their order.
+SHAPE_RUNS = 24
+
+
 def shape(token: str) -> str:
-    """Letters, capitals and digits of a word as x, X and d, runs as one, with the digits counted."""
+    """Letters, capitals and digits of a word as x, X and d, runs as one, with the digits counted.  Of a
+    word with many runs only the signs that occur are told, so that there are not too many shapes."""
     kinds, digits, last = [], 0, ""
-    for c in token[:64]:
+    for c in token:
         k = "d" if "0" <= c <= "9" else "x" if c.islower() else "X" if c.isalpha() else c
         digits += k == "d"
         if k != last:
             kinds.append(k)
             last = k
     size = 0 if not digits else 1 if digits < 4 else 2 if digits < 9 else 3 if digits < 12 else 4 if digits < 20 else 5
-    return "".join(kinds[:24]).rstrip(".,;:!?") + str(size)
+    body = "".join(kinds) if len(kinds) <= SHAPE_RUNS else "~" + "".join(sorted(set(kinds)))
+    return body.rstrip(".,;:!?") + str(size)
 
 
 PLAIN = "w"
