@@ -154,11 +154,12 @@ def mix(df: DataFrame) -> DataFrame:
 def training_rows(df: DataFrame) -> DataFrame:
     """The mixture itself: a row of df for each use of a document, range-sorted by training time.
 
-    A text is used whole; a last use of which less than half is asked for is left out.  All columns
-    of df come back as they were, whatever their names.
+    A text is used whole; a last use of which less than half is asked for is left out, but never a
+    source's first text, so that no source with a share vanishes.  All columns of df come back as they
+    were, whatever their names.
     """
     rows = df.select(F.struct(*df.columns).alias("_row"), "doc_id", "source", "text")
     uses = _mixed(rows).withColumn("use", F.explode("passes")).filter(
-        F.col("use")["words"] * 2 >= F.col("size")
+        (F.col("use")["words"] * 2 >= F.col("size")) | (F.col("use")["time"] == 0)
     )
     return uses.orderBy(F.col("use")["time"], "order_key", "doc_id").select("_row.*")

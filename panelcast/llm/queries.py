@@ -54,7 +54,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("long")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    position = F.round("position", 9).alias("position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", position)
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,16 +193,29 @@ WITH sized AS (
   FROM weighed WINDOW o AS (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), level AS (SELECT min_by(level, turn_at) AS level FROM levels WHERE level <= ratio
 ), targets AS (
-  SELECT source, source_size, least(cap, level.level * w) AS target FROM levels, level
+  SELECT source, source_size, least(cap, level.level * w) AS target, rk % 3 AS kind FROM levels, level
 ), taken AS (
-  SELECT s.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS quota
+  SELECT s.*, t.source_size, t.target, t.kind, CAST(round(t.target) AS BIGINT) AS quota
   FROM starts s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
-SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.source_size, t.target,
-  CAST(greatest(0, least(d.size * copies, quota - start)) // copies
-     + greatest(0, least(d.size * copies, quota - start - t.source_size)) // copies
-     + greatest(0, least(d.size * copies, quota - start - 2 * t.source_size)) // copies AS BIGINT) AS taken
-FROM sized d JOIN taken t ON d.source IS NOT DISTINCT FROM t.source
+, uses AS (
+  SELECT *, greatest(0, least(size * copies, quota - start)) // copies AS u0,
+    greatest(0, least(size * copies, quota - start - source_size)) // copies AS u1,
+    greatest(0, least(size * copies, quota - start - 2 * source_size)) // copies AS u2 FROM taken
+), asked AS (
+  SELECT u.*, r0, r1, r2, (r0 + r1) / 4 AS half, (start + source_size * CASE WHEN u0 > 0 THEN 0 WHEN u1 > 0 THEN 1 ELSE 2 END)
+    / target * ((r0 + r1) / 4 + (r1 + r2) / 4) AS need
+  FROM uses u JOIN (VALUES (0, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), (1, 0.5, 1.0, 1.5), (2, 1.5, 1.0, 0.5)) k(kind, r0, r1, r2) USING (kind)
+), placed AS (
+  SELECT *, CASE WHEN u0 + u1 + u2 = 0 THEN NULL
+    WHEN need <= 0 THEN 0.0
+    WHEN need <= half THEN 2 * need / (r0 + sqrt(greatest(0.0, r0 * r0 + 2 * ((r1 - r0) / 0.5) * need)))
+    WHEN need - half <= 0 THEN 0.5
+    ELSE 0.5 + 2 * (need - half) / (r1 + sqrt(greatest(0.0, r1 * r1 + 2 * ((r2 - r1) / 0.5) * (need - half)))) END AS position FROM asked
+)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.source_size, t.target, CAST(u0 + u1 + u2 AS BIGINT) AS taken,
+  round(position, 9) AS position
+FROM sized d JOIN placed t ON d.source IS NOT DISTINCT FROM t.source
   AND d.doc_id IS NOT DISTINCT FROM t.doc_id AND d.size = t.size
 """,
     "op11_phrases": """
