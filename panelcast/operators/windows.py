@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from panelcast.functions.dates import season_form
+from panelcast.functions.dates import season_exprs, season_form  # noqa: F401 (callers take season_exprs from here)
 from panelcast.functions.spec import FeatureSpec, lag_name, rolling_name
 from panelcast.operators.shape import drop_incomplete
 
