@@ -30,10 +30,10 @@ from panelcast.llm.common import settle, text_bytes
 LONGEST = 5
 SUPPORT = 100
 TOP = 2000
-#: One document in SAMPLE proposes; a phrase needs LOWERED of the support's share there, so that few
-#: frequent ones are missed.
+#: One document in SAMPLE proposes; a phrase needs LOWERED of the support's share there.  A lower share
+#: lets fewer frequent phrases fail, a higher one proposes, and so counts, fewer that are not frequent.
 SAMPLE = 8
-LOWERED = 0.4
+LOWERED = 0.8
 #: Bits of the filter (16 MB) and bits set for a phrase.
 FILTER_BITS = 27
 PROBES = 3
@@ -250,16 +250,18 @@ def _filter(phrases: DataFrame) -> np.ndarray:
     return out
 
 
-def _propose(df: DataFrame, support: int, sample: int) -> DataFrame:
-    """(lang, phrase) that the sample finds frequent: words and pairs first, then the longer ones all of
-    whose pairs are."""
+def _propose(df: DataFrame, support: int, sample: int) -> tuple[DataFrame, np.ndarray]:
+    """(lang, phrase) that the sample finds frequent, and their filter: words, pairs of such words, then the
+    longer ones all of whose pairs are."""
     chosen = settle(_texts(df.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0)))
     enough = max(1, round(support / sample * LOWERED)) if sample > 1 else support
-    short = settle(_count(chosen, None, lengths=range(1, 3)).filter(
-        (F.col("f") >= enough) & (F.col("phrase") != "")
-    ).select("lang", "phrase"))
-    long = _count(chosen, _filter(short), lengths=range(3, LONGEST + 1), known=2)
-    return settle(short.unionByName(long.filter(F.col("f") >= enough).select("lang", "phrase")))
+    found, now = None, None
+    for lengths in (range(1, 2), range(2, 3), range(3, LONGEST + 1)):
+        counted = _count(chosen, now, lengths=lengths, known=lengths.start - 1)
+        often = settle(counted.filter((F.col("f") >= enough) & (F.col("phrase") != "")).select("lang", "phrase"))
+        found = often if found is None else found.unionByName(often)
+        now = _filter(often) if now is None else now | _filter(often)
+    return found, now
 
 
 def n_words(phrase: str = "phrase") -> Column:
@@ -275,8 +277,7 @@ def frequent_phrases(df: DataFrame, support: int = SUPPORT, sample: int = SAMPLE
     ones first, and pass there.  So the second pass counts every frequent phrase that the first did not.
     """
     texts = _texts(df)
-    proposed = _propose(df, support, sample)
-    now = _filter(proposed)
+    proposed, now = _propose(df, support, sample)
     enough = (F.col("f") >= support) | (F.col("phrase") == "")
     found = settle(_count(texts, now).filter(enough))
     border = found.filter((F.col("phrase") != "") & (n_words() < LONGEST)).select("lang", "phrase")
