@@ -316,3 +316,31 @@ def test_common_lines_are_removed_per_host(spark):
     out = {r["doc_id"]: r for r in line_rules.quality(make(spark, rows)).collect()}
     assert out[0]["n_removed"] == 4 and out[0]["kept"] and out[200]["n_removed"] == 0
     assert out[100]["n_repeat_words"] > 0 and out[100]["base_failed"] and not out[100]["kept"]
+
+
+def test_slots_follow_the_key_whatever_the_pieces(spark):
+    rows = [(i * 7919 % 1000, "z" * (i % 90), "a") for i in range(600)]
+    df = make(spark, rows).dropDuplicates(["doc_id"])
+    runs = [
+        {r["doc_id"]: (r["shard"], r["slot"]) for r in shards.shard_by_bytes(df, 4, piece_bytes=size).collect()}
+        for size in (1 << 30, 4000, 300)
+    ]
+    # A boundary may move by the tolerance; the order of the keys never changes.
+    for run in runs:
+        assert [k for k, _ in sorted(run.items(), key=lambda kv: kv[1])] == sorted(run)
+
+
+def test_no_source_vanishes_from_the_mixture(spark):
+    """Each source has one very long text and a short one; quotas end inside the first text."""
+    rows = [(i, prose(random.Random(i), n), s) for s in "abcd" for i, n in ((ord(s), 900), (ord(s) + 100, 10))]
+    mixed = curriculum.training_rows(make(spark, rows))
+    assert {r["source"] for r in mixed.select("source").distinct().collect()} == set("abcd")
+    told = curriculum.mix(make(spark, rows)).filter("taken > 0")
+    assert told.filter("position is null or position < 0 or position > 1").count() == 0
+
+
+def test_shapes_tell_of_the_whole_word():
+    long = "a1" * 300
+    assert pii.shape(long + "@") != pii.shape(long) and pii.shape(long) == pii.shape("1a" * 400)
+    assert pii.shape("x" * 80 + "5") != pii.shape("x" * 80)
+    assert len(pii.shape("".join(chr(33 + i % 80) for i in range(5000)))) < 120
