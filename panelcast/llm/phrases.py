@@ -2,7 +2,8 @@
 
 A sample of the documents proposes frequent phrases.  The full pass counts, in one go, every phrase
 both of whose shorter parts (without its last, without its first word) are proposed: the proposed
-phrases and their negative border, as far as it occurs.  If phrases of the border turn out
+phrases and their negative border, as far as it occurs.  All single words are proposed, so all pairs are
+counted: which words are frequent depends on the corpus' size, and so would the work.  If phrases of the border turn out
 frequent their extensions were not counted; they are added, and a further pass counts what that makes
 countable and the first did not count.  A phrase that it counts passes as a part of longer ones without
 a look at its count, so this pass closes the set: see ``frequent_phrases``.  Phrases and counts are plain
@@ -123,7 +124,7 @@ def countable(words: Words, now: np.ndarray | None, before: np.ndarray | None, l
     """(length, first words of distinct phrases, their counts) of the phrases to count.
 
     A phrase is countable under a filter if it holds both its parts and they are countable; without a
-    filter, or of more than ``known`` words, parts pass unasked.  Counted is what ``now`` makes countable and ``before`` did
+    filter, single words, or of more than ``known`` words, parts pass unasked.  Counted is what ``now`` makes countable and ``before`` did
     not; what is newly counted also passes as a part.  Single words are always countable, so they are
     counted where ``before`` is missing.
     """
@@ -136,11 +137,11 @@ def countable(words: Words, now: np.ndarray | None, before: np.ndarray | None, l
     first[code[::-1]] = at[::-1]
     for length in range(1, lengths.stop):
         if length > 1:
-            asked = now is not None and length - 1 <= known
-            holds = _holds(now, hashes) if asked else np.ones(len(hashes), bool)
+            asked = 1 < length - 1 <= known
+            holds = _holds(now, hashes) if asked and now is not None else np.ones(len(hashes), bool)
             if before is not None:
                 holds |= ~old
-            was = old & _holds(before, hashes) if before is not None else np.zeros(len(hashes), bool)
+            was = old & _holds(before, hashes) if asked and before is not None else old
             # The phrases at a place and at the next one are the parts of the longer one that begins there.
             held = holds[code]
             both = np.flatnonzero(
@@ -251,12 +252,12 @@ def _filter(phrases: DataFrame) -> np.ndarray:
 
 
 def _propose(df: DataFrame, support: int, sample: int) -> tuple[DataFrame, np.ndarray]:
-    """(lang, phrase) that the sample finds frequent, and their filter: words, pairs of such words, then the
-    longer ones all of whose pairs are."""
+    """(lang, phrase) of two words and more that the sample finds frequent, and their filter: pairs, then the
+    longer ones all of whose pairs are.  Every single word counts as proposed."""
     chosen = settle(_texts(df.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0)))
     enough = max(1, round(support / sample * LOWERED)) if sample > 1 else support
     found, now = None, None
-    for lengths in (range(1, 2), range(2, 3), range(3, LONGEST + 1)):
+    for lengths in (range(2, 3), range(3, LONGEST + 1)):
         counted = _count(chosen, now, lengths=lengths, known=lengths.start - 1)
         often = settle(counted.filter((F.col("f") >= enough) & (F.col("phrase") != "")).select("lang", "phrase"))
         found = often if found is None else found.unionByName(often)
@@ -280,7 +281,7 @@ def frequent_phrases(df: DataFrame, support: int = SUPPORT, sample: int = SAMPLE
     proposed, now = _propose(df, support, sample)
     enough = (F.col("f") >= support) | (F.col("phrase") == "")
     found = settle(_count(texts, now).filter(enough))
-    border = found.filter((F.col("phrase") != "") & (n_words() < LONGEST)).select("lang", "phrase")
+    border = found.filter(n_words().between(2, LONGEST - 1)).select("lang", "phrase")
     failed = settle(border.join(proposed, ["lang", "phrase"], "left_anti"))
     if failed.isEmpty():
         return found
