@@ -318,6 +318,22 @@ def test_common_lines_are_removed_per_host(spark):
     assert out[100]["n_repeat_words"] > 0 and out[100]["base_failed"] and not out[100]["kept"]
 
 
+def test_common_lines_count_copies_as_documents(spark):
+    """A line that only copies of one text carry is common; a row that is repeated whole is not a copy."""
+    rng = random.Random(8)
+    notice, once = (f"{line}\n{prose(rng, 12)}" for line in ("all rights reserved here", "said only once here"))
+    rows = [(i, notice, h) for h in ("d", None) for i in range(30)]
+    rows += [(500, once, h) for h in ("d", None) for _ in range(40)]
+    rows += [(600 + i, prose(rng, 30), "d") for i in range(10)]
+    rows += [(700 + i, notice, "e") for i in range(20)]
+    found = line_rules.quality(make(spark, rows)).collect()
+    out = {r["doc_id"]: r for r in found}
+    assert len(found) == len(rows)
+    # Both lines of the copied text are in 30 documents of its host: nothing of it is left.
+    assert all(r["n_removed"] == r["n_words"] == 16 and not r["kept"] for r in found if r["doc_id"] < 30)
+    assert all(out[i]["n_removed"] == 0 and out[i]["kept"] for i in (500, 600, 700))
+
+
 def test_slots_follow_the_key_whatever_the_pieces(spark):
     rows = [(i * 7919 % 1000, "z" * (i % 90), "a") for i in range(600)]
     df = make(spark, rows).dropDuplicates(["doc_id"])
