@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from panelcast.config import SCENARIO_SHOCKS, BoostConfig, ForecastConfig
@@ -67,12 +69,13 @@ def run_forecast(
     ``panel`` is gap-filled monthly data ``(keys..., ds, y, drivers...)``.  The test months are the
     last ``test_size`` months of the calendar up to a series' last complete feature row.  The
     structural model and the recursion's state see the panel itself, also months whose features are
-    incomplete.
+    incomplete.  The panel is written once, so what it is made of is read once.  The trial and the
+    final ensemble are fitted at the same time: both wait for their rounds' small jobs.
     """
     boost = boost or config.boost
     f = config.features
     shape = dict(shocks=shocks, ks=f.lags, windows=f.rolling, seasonal=f.seasonal)
-    panel = panel.select(*keys, "ds", F.col(y).alias("y"), *drivers)
+    panel = cut_lineage(panel.select(*keys, "ds", F.col(y).alias("y"), *drivers))
     quality = quality_verdict(panel, keys, ["y", *drivers], config.min_rows)
     specs = ar_feature_specs("y", drivers, **shape)
     xs = names(specs)
@@ -87,7 +90,13 @@ def run_forecast(
     known = cut_lineage(known.withColumn("split", split).drop("_end"))
     known_train = known.filter("split = 'train'")
 
-    trial = boosted_forecast_fit(train, keys, "y", xs, boost)
+    with ThreadPoolExecutor(2) as pool:
+        # One wrapper a thread: each takes its own copy of the local properties.
+        fits = [
+            pool.submit(inheritable_thread_target(panel.sparkSession)(boosted_forecast_fit), part, keys, "y", xs, boost)
+            for part in (train, rows)
+        ]
+    trial, final = (f.result() for f in fits)
     recursive = recursive_forecast_boosted(trial, train, specs, "y", config.test_size, values=known_train)
     contest = _structural_path(known_train, keys, config.test_size, config).unionByName(
         recursive.select(*keys, "ds", F.lit(BOOSTED).alias("model"), "yhat")
@@ -96,7 +105,6 @@ def run_forecast(
     metrics = metrics_table(predictions, keys, counted=True)
     winner = best_model(metrics, keys)
 
-    final = boosted_forecast_fit(rows, keys, "y", xs, boost)
     paths = _structural_path(known, keys, config.horizon, config).unionByName(
         recursive_forecast_boosted(final, rows, specs, "y", config.horizon, values=known).select(
             *keys, "ds", F.lit(BOOSTED).alias("model"), "yhat"

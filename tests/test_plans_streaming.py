@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 
 import numpy as np
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 from helpers import mixed_frequency, month, noisy_panel, pandas_of, to_spark
 from panelcast import BoostConfig, NowcastBoostConfig, NowcastConfig
 from panelcast.config import ForecastConfig
+from panelcast.operators.boosted import boosted_forecast_fit
+from panelcast.plans import forecast as forecast_plan
 from panelcast.plans.forecast import run_forecast
 from panelcast.plans.nowcast import BASELINE, BOOSTED, BRIDGE, run_nowcast
 from panelcast.sources.calendars import gap_fill
@@ -55,6 +58,28 @@ def test_forecast_run(spark):
     assert np.isclose(row["final_base"], base[11])
 
 
+def test_forecast_run_reads_its_panel_once_and_fits_side_by_side(spark, monkeypatch):
+    df = gap_fill(noisy_panel(spark), ["k"])
+    seen, both = spark.sparkContext.accumulator(0), threading.Barrier(2)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    # Behind a shuffle, as a panel built from raw rows is.
+    panel = df.mapInPandas(counted, df.schema).repartition(2, "k")
+
+    def fit(*args):
+        both.wait(90)
+        return boosted_forecast_fit(*args)
+
+    monkeypatch.setattr(forecast_plan, "boosted_forecast_fit", fit)
+    result = run_forecast(panel, ["k"], ["x1", "x2"], ["x1"], boost=BoostConfig(max_depth=2, n_estimators=2))
+    assert result.quality.count() > 0 and result.summary.count() == 2
+    assert seen.value == df.count()
+
+
 def test_single_series_run_without_keys(spark):
     target, daily, _ = mixed_frequency()
     target = target[target["ds"] < "2021-04-01"]
